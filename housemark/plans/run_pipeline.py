@@ -1,0 +1,80 @@
+"""End-to-end jobs on the run log: export, enrichment and report."""
+
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from datetime import datetime, timezone
+
+from pyspark.sql import DataFrame, SparkSession
+
+from housemark import schemas
+from housemark.operators import run_analytics
+from housemark.operators.ordered import ROWS_PER_SLICE
+from housemark.operators.run_log import StageRecord, order_stages, records_frame
+from housemark.sources.tables import TableStore
+
+
+class RunRecorder:
+    """Collects the stages of one run, a handful of records, and appends them."""
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        platform: str,
+        configuration: str,
+        workload_name: str,
+        started: datetime | None = None,
+        probe: Callable[[], dict] = dict,
+    ):
+        started = started or datetime.now(timezone.utc)
+        self._spark = spark
+        self._probe = probe
+        self._run = (platform, configuration, workload_name, f"{started:%Y%m%d_%H%M%S}")
+        self.records: list[StageRecord] = []
+        self.capture("start", started)
+
+    def capture(self, stage_name: str, at: datetime | None = None) -> None:
+        at = at or datetime.now(timezone.utc)
+        self.records.append(StageRecord(*self._run, stage_name, at, **self._probe()))
+
+    @contextmanager
+    def step(self, stage_name: str) -> Iterator[None]:
+        """Capture the stage when its block has ended without an error."""
+        yield
+        self.capture(stage_name)
+
+    def export(self, store: TableStore, table: str = "benchmarks") -> DataFrame:
+        """Order the records and append them as the batch of this run."""
+        records = records_frame(self._spark, self.records)
+        log = order_stages(records, rows_per_slice=None)
+        batch = "-".join(self._run[2:]).replace(" ", "_")
+        store.append(log, table, batch, schemas.RUN_LOG)
+        return log
+
+
+def write_dimensions(spark: SparkSession, store: TableStore) -> None:
+    store.overwrite(schemas.stages(spark), "stages", files=1)
+    store.replace(schemas.configurations(spark).coalesce(1), "configurations")
+
+
+def build_analytics(
+    log: DataFrame, store: TableStore, rows_per_slice: int | None = ROWS_PER_SLICE
+) -> DataFrame:
+    """Enrich a log and replace the analytics table with it."""
+    return store.replace(run_analytics.enrich(log, rows_per_slice), "benchmark_analytics")
+
+
+def report(
+    analytics: DataFrame, names: Sequence[str] = tuple(schemas.REPORTED_CONFIGURATIONS)
+) -> dict[str, DataFrame]:
+    """The tables of the report, from the stored analytics table."""
+    chosen = run_analytics.select_configurations(analytics, names)
+    elapsed = run_analytics.median_elapsed(chosen)
+    return {
+        "provisioning": run_analytics.provisioning_median(chosen),
+        "default_environments": run_analytics.default_environments(elapsed),
+        "fastest": run_analytics.fastest(run_analytics.median_execution(chosen)),
+        "cheapest": run_analytics.cheapest(run_analytics.unit_cost(chosen)),
+        "elapsed_vs_cost": run_analytics.elapsed_vs_cost(chosen),
+        "execution_vs_cost": run_analytics.execution_vs_cost(chosen),
+        "cumulative": run_analytics.stage_cumulative_median(chosen),
+    }

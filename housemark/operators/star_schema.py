@@ -9,7 +9,7 @@ from housemark.functions.prices import (
     month_tag,
     postcode_area,
 )
-from housemark.schemas import CLEAN_COLUMNS, LOCATION_COLUMNS, PRICES_COLUMNS
+from housemark.schemas import CLEAN_COLUMNS, LOCATION_COLUMNS, PRICES
 
 
 def clean_price_paid(raw: DataFrame, no_match_as_null: bool = False) -> DataFrame:
@@ -25,7 +25,7 @@ def clean_price_paid(raw: DataFrame, no_match_as_null: bool = False) -> DataFram
 
 
 def prices_fact(clean: DataFrame) -> DataFrame:
-    return clean.select(*PRICES_COLUMNS)
+    return clean.select(*PRICES.fieldNames())
 
 
 def locations_dim(clean: DataFrame) -> DataFrame:

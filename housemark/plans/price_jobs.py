@@ -6,7 +6,7 @@ from contextlib import AbstractContextManager, nullcontext
 from pyspark.sql import DataFrame, SparkSession
 
 from housemark.operators import star_schema, summaries
-from housemark.schemas import RAW_COLUMNS_USED
+from housemark.schemas import DATES, PRICES, RAW_COLUMNS_USED
 from housemark.sources.price_files import read_price_paid
 from housemark.sources.scratch import stage
 from housemark.sources.tables import TableStore
@@ -35,9 +35,9 @@ def summarise_star_schema(
 ) -> DataFrame:
     """Read the fact and the calendar back, join them and summarise by month."""
     with step("read_prices"):
-        prices = star_schema.without_other(store.read("prices"))
+        prices = star_schema.without_other(store.read("prices", PRICES))
     with step("read_dates"):
-        dates = star_schema.with_month_tag(store.read("dates"))
+        dates = star_schema.with_month_tag(store.read("dates", DATES))
     with step("join_and_summarise"):
         joined = summaries.join_dates(prices, dates)
         if approximate:
@@ -45,7 +45,7 @@ def summarise_star_schema(
         return summaries.monthly_summary(joined)
 
 
-def run_price_pipeline(
+def files_to_summary(
     spark: SparkSession,
     paths: str | Sequence[str],
     store: TableStore,
@@ -65,7 +65,7 @@ def run_price_pipeline(
     return summarise_star_schema(store, approximate, step)
 
 
-def run_exploration(
+def files_to_recent_summary(
     spark: SparkSession,
     paths: str | Sequence[str],
     store: TableStore,

@@ -1,33 +1,35 @@
 """Schemas, keys and fixed reference values shared by all modules."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:
+def layout(*fields: tuple[str, T.DataType]) -> T.StructType:
+    """A schema of nullable fields."""
     return T.StructType([T.StructField(name, kind, True) for name, kind in fields])
 
 
-_TEXT, _REAL, _LONG, _INT = T.StringType(), T.DoubleType(), T.LongType(), T.IntegerType()
+TEXT, REAL, LONG, INT = T.StringType(), T.DoubleType(), T.LongType(), T.IntegerType()
 
 # Positional layout of the headerless price-paid files.
-PRICE_PAID_RAW = _struct(
-    ("transaction_unique_identifier", _TEXT),
-    ("price", _REAL),
+PRICE_PAID_RAW = layout(
+    ("transaction_unique_identifier", TEXT),
+    ("price", REAL),
     ("date_of_transfer", T.TimestampType()),
-    ("postcode", _TEXT),
-    ("property_type", _TEXT),
-    ("old_new", _TEXT),
-    ("duration", _TEXT),
-    ("paon", _TEXT),
-    ("saon", _TEXT),
-    ("street", _TEXT),
-    ("locality", _TEXT),
-    ("town_city", _TEXT),
-    ("district", _TEXT),
-    ("county", _TEXT),
-    ("ppd_category_type", _TEXT),
-    ("record_status", _TEXT),
+    ("postcode", TEXT),
+    ("property_type", TEXT),
+    ("old_new", TEXT),
+    ("duration", TEXT),
+    ("paon", TEXT),
+    ("saon", TEXT),
+    ("street", TEXT),
+    ("locality", TEXT),
+    ("town_city", TEXT),
+    ("district", TEXT),
+    ("county", TEXT),
+    ("ppd_category_type", TEXT),
+    ("record_status", TEXT),
 )
 
 CLEAN_COLUMNS = [
@@ -45,44 +47,55 @@ CLEAN_COLUMNS = [
 # What a clean row needs from the raw file: everything but the derived area.
 RAW_COLUMNS_USED = [name for name in CLEAN_COLUMNS if name != "postcode_area"]
 
-PRICES_COLUMNS = [
-    "price",
-    "date_of_transfer",
-    "postcode_area",
-    "town_city",
-    "property_type",
-    "old_new",
-]
+PRICES = layout(
+    ("price", REAL),
+    ("date_of_transfer", T.DateType()),
+    ("postcode_area", TEXT),
+    ("town_city", TEXT),
+    ("property_type", TEXT),
+    ("old_new", TEXT),
+)
+
+DATES = layout(
+    ("date", T.DateType()),
+    ("year", INT),
+    ("month", INT),
+    ("month_name", TEXT),
+    ("day", INT),
+    ("weekday", INT),
+    ("weekday_name", TEXT),
+    ("day_of_year", INT),
+)
 
 LOCATION_COLUMNS = ["county", "district", "town_city"]
 
-RUN_RECORD = _struct(
-    ("platform", _TEXT),
-    ("configuration", _TEXT),
-    ("workload_name", _TEXT),
-    ("run_timestamp", _TEXT),
-    ("stage_name", _TEXT),
+RUN_RECORD = layout(
+    ("platform", TEXT),
+    ("configuration", TEXT),
+    ("workload_name", TEXT),
+    ("run_timestamp", TEXT),
+    ("stage_name", TEXT),
     ("stage_time", T.TimestampType()),
-    ("cpu_count", _LONG),
-    ("cpu_usage", _REAL),
-    ("memory", _REAL),
-    ("memory_usage", _REAL),
+    ("cpu_count", LONG),
+    ("cpu_usage", REAL),
+    ("memory", REAL),
+    ("memory_usage", REAL),
 )
 
 RUN_LOG = T.StructType(
     RUN_RECORD.fields
-    + [T.StructField("order", _INT, True), T.StructField("stage_time_delta", _REAL, True)]
+    + [T.StructField("order", INT, True), T.StructField("stage_time_delta", REAL, True)]
 )
 
-STAGES = _struct(
-    ("stage_name", _TEXT), ("stage_order", _LONG), ("phase", _TEXT), ("phase_order", _LONG)
+STAGES = layout(
+    ("stage_name", TEXT), ("stage_order", LONG), ("phase", TEXT), ("phase_order", LONG)
 )
 
-CONFIGURATIONS = _struct(
-    ("configuration", _TEXT),
-    ("configuration_scale", _TEXT),
-    ("total_v_cores", _LONG),
-    ("cu_per_second", _LONG),
+CONFIGURATIONS = layout(
+    ("configuration", TEXT),
+    ("configuration_scale", TEXT),
+    ("total_v_cores", LONG),
+    ("cu_per_second", LONG),
 )
 
 ONE_RUN = ["platform", "configuration", "workload_name", "run_timestamp"]
@@ -159,11 +172,20 @@ REPORTED_CONFIGURATIONS = [
 DEFAULT_CONFIGURATIONS = ["01 executors 08/08 cores 56g/56g memory", "02 vCores"]
 
 
+def literal_rows(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """A small fixed table that is made inside the plan, by one task of the JVM."""
+    entries = [
+        F.struct(*[F.lit(value).cast(f.dataType).alias(f.name) for value, f in zip(row, schema)])
+        for row in rows
+    ]
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*entries)))
+
+
 def stages(spark: SparkSession) -> DataFrame:
     """The ten literal stage rows."""
-    return spark.createDataFrame(STAGE_ROWS, STAGES)
+    return literal_rows(spark, STAGE_ROWS, STAGES)
 
 
 def configurations(spark: SparkSession) -> DataFrame:
     """The eleven literal configuration rows."""
-    return spark.createDataFrame(CONFIGURATION_ROWS, CONFIGURATIONS)
+    return literal_rows(spark, CONFIGURATION_ROWS, CONFIGURATIONS)

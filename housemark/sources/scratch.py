@@ -1,7 +1,5 @@
 """Shared scratch space: staged tables that cut lineage and carry real sizes."""
 
-import atexit
-import shutil
 import tempfile
 import uuid
 from functools import cache
@@ -11,9 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 @cache
 def _local_folder() -> str:
-    folder = tempfile.mkdtemp(prefix="housemark-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    return folder
+    return tempfile.mkdtemp(prefix="housemark-")
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -30,9 +26,23 @@ def scratch_root(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/housemark-{spark.sparkContext.applicationId}"
 
 
+_made: set[str] = set()
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the scratch folder; nothing is created yet."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path in the scratch folder, which is removed when the driver exits."""
+    root = scratch_root(spark)
+    if root not in _made:
+        files, folder = _file_system(spark, root)
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+        _made.add(root)
+    return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _file_system(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
 
 
 def stage(frame: DataFrame, name: str = "stage") -> DataFrame:
@@ -47,18 +57,24 @@ def stage(frame: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Folders directly below ``path``."""
+    files, folder = _file_system(spark, path)
+    return sorted(f.getPath().toString() for f in files.listStatus(folder) if f.isDirectory())
+
+
 def delete_tree(spark: SparkSession, path: str, inside: str) -> bool:
     """Delete ``path`` through its file system, only if it lies below ``inside``."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    base, target = hadoop.Path(inside), hadoop.Path(path)
+    files, target = _file_system(spark, path)
+    _, base = _file_system(spark, inside)
     prefix = base.toUri().getPath().rstrip("/") + "/"
     if ".." in path or not target.toUri().getPath().startswith(prefix):
         raise ValueError(f"{path} is not inside {inside}")
-    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
     return files.delete(target, True)
 
 
 def release(spark: SparkSession) -> bool:
     """Remove everything this application staged."""
     root = scratch_root(spark)
+    _made.discard(root)
     return delete_tree(spark, root, root.rsplit("/", 1)[0])

@@ -5,7 +5,15 @@ from pyspark.sql import functions as F
 
 from housemark.operators.ordered import ROWS_PER_SLICE, Running, running
 from housemark.operators.run_log import derive_configuration
-from housemark.schemas import EXECUTION_ORDER, PRICE_PAID_RAW, RUN_RECORD
+from housemark.schemas import (
+    EXECUTION_ORDER,
+    INT,
+    PRICE_PAID_RAW,
+    RUN_RECORD,
+    TEXT,
+    layout,
+    literal_rows,
+)
 
 # Settings that the runs were scheduled with, by slot. The last one
 # has no row in the configuration table.
@@ -23,9 +31,14 @@ _SETTINGS = [
     (10, None, 4, 8, 8, "56g", "56g"),
     (11, 64, None, None, None, None, None),
 ]
-_SETTINGS_SCHEMA = (
-    "slot int, v_cores int, executor_number int, driver_cores int, executor_cores int, "
-    "driver_memory string, executor_memory string"
+_SETTINGS_SCHEMA = layout(
+    ("slot", INT),
+    ("v_cores", INT),
+    ("executor_number", INT),
+    ("driver_cores", INT),
+    ("executor_cores", INT),
+    ("driver_memory", TEXT),
+    ("executor_memory", TEXT),
 )
 
 
@@ -76,7 +89,7 @@ def price_paid_raw(spark: SparkSession, folder: str) -> DataFrame:
 
 def event_settings(spark: SparkSession, folder: str) -> DataFrame:
     """Events with the settings that their user ran with."""
-    slots = spark.createDataFrame(_SETTINGS, _SETTINGS_SCHEMA)
+    slots = literal_rows(spark, _SETTINGS, _SETTINGS_SCHEMA)
     events = table(spark, folder, "events").withColumn(
         "slot", (F.col("user_id") % len(_SETTINGS)).cast("int")
     )
@@ -97,7 +110,7 @@ def run_records(
         Running(number="number"),
         rows_per_slice,
     )
-    slots = derive_configuration(spark.createDataFrame(_SETTINGS, _SETTINGS_SCHEMA))
+    slots = derive_configuration(literal_rows(spark, _SETTINGS, _SETTINGS_SCHEMA))
     size = len(EXECUTION_ORDER)
     place = F.col("number") - 1
     stage_names = F.array(*[F.lit(name) for name in EXECUTION_ORDER])

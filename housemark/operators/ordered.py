@@ -37,7 +37,13 @@ def _match(frame: DataFrame, other: DataFrame, keys: Sequence[str]) -> Column:
     return reduce(and_, [frame[k].eqNullSafe(other[f"__hot_{k}"]) for k in keys])
 
 
-def _hot_keys(frame: DataFrame, keys: Sequence[str], position: Column, rows_per_slice: int) -> DataFrame:
+def _hot_keys(
+    frame: DataFrame, keys: Sequence[str], position: Column, rows_per_slice: int
+) -> DataFrame | None:
+    """The large keys with their number of slices; None if there is no large key.
+
+    At most ``MOST_HOT_KEYS`` rows come to the driver.
+    """
     sizes = (
         frame.groupBy(*keys)
         .agg(
@@ -48,16 +54,15 @@ def _hot_keys(frame: DataFrame, keys: Sequence[str], position: Column, rows_per_
         .where(F.col("__n") > rows_per_slice)
         .orderBy(F.desc("__n"))
         .limit(MOST_HOT_KEYS)
-    )
-    return stage(
-        sizes.select(
+        .select(
             *[F.col(k).alias(f"__hot_{k}") for k in keys],
             "__first",
             "__last",
             F.ceil(F.col("__n") / rows_per_slice).alias("__slices"),
-        ),
-        "hot-keys",
+        )
     )
+    found = sizes.collect()
+    return frame.sparkSession.createDataFrame(found, sizes.schema) if found else None
 
 
 def _sliced(frame: DataFrame, keys: Sequence[str], position: Column, hot: DataFrame) -> DataFrame:
@@ -114,7 +119,7 @@ def running(
     """
     keys, order = list(keys), list(order)
     hot = None if rows_per_slice is None else _hot_keys(frame, keys, position, rows_per_slice)
-    if hot is None or hot.isEmpty():
+    if hot is None:
         return _within(frame, keys, order, want)
 
     sliced = _sliced(frame, keys, position, hot)

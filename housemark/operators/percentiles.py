@@ -11,7 +11,7 @@ money or milliseconds can put only a limited number of distinct values into it.
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from housemark.sources.scratch import stage
 
-RESOLUTION = 1024
+RESOLUTION = 256
 _LAST_CELL = (1 << 63) - 1
+_TOTALS = ["__rows", "__n", "__least", "__greatest"]
 
 
 def _cell(value: Column, resolution: int) -> Column:
@@ -38,15 +39,10 @@ def _position(probability: float) -> Column:
     return (F.col("__n") - 1) * F.lit(float(probability))
 
 
-def _ranks(probabilities: Sequence[float]) -> Column:
-    edges = [f(_position(p)) for p in probabilities for f in (F.floor, F.ceil)]
-    return F.array_distinct(F.array(*edges))
-
-
-def _holds_rank(start: str, end: str, probabilities: Sequence[float]) -> Column:
-    return F.exists(
-        _ranks(probabilities), lambda rank: (rank >= F.col(start)) & (rank < F.col(end))
-    )
+def _holds_rank(probabilities: Sequence[float]) -> Column:
+    edges = [edge(_position(p)) for p in probabilities for edge in (F.floor, F.ceil)]
+    inside = [(rank >= F.col("__start")) & (rank < F.col("__end")) for rank in edges]
+    return reduce(or_, inside)
 
 
 def _wanted_cells(rows: DataFrame, keys: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
@@ -64,47 +60,43 @@ def _wanted_cells(rows: DataFrame, keys: Sequence[str], probabilities: Sequence[
         .select(
             *keys,
             "__cell",
-            F.sum("__values").over(upto).alias("__end"),
             (F.sum("__values").over(upto) - F.col("__values")).alias("__start"),
-            F.sum("__values").over(group).alias("__n"),
+            F.sum("__values").over(upto).alias("__end"),
             F.sum("__rows").over(group).alias("__rows"),
-            F.min("__low").over(group).alias("__low"),
-            F.max("__high").over(group).alias("__high"),
+            F.sum("__values").over(group).alias("__n"),
+            F.min("__low").over(group).alias("__least"),
+            F.max("__high").over(group).alias("__greatest"),
         )
     )
     # A group of NULLs has no rank to hold; its only cell keeps the group alive.
-    return cells.where(
-        (F.col("__n") == 0) | _holds_rank("__start", "__end", probabilities)
-    )
+    return cells.where((F.col("__n") == 0) | _holds_rank(probabilities)).drop("__end")
 
 
 def _ranked_values(
     rows: DataFrame, cells: DataFrame, keys: Sequence[str], probabilities: Sequence[float]
 ) -> DataFrame:
-    """Distinct values at the wanted ranks, as half-open rank ranges."""
-    renamed = cells.select(
-        *[F.col(k).alias(f"__key_{k}") for k in keys],
-        F.col("__cell").alias("__wanted"),
-        "__start",
-        "__n",
-    )
+    """Distinct values at the wanted ranks, as half-open rank ranges, with group totals."""
+    wanted = cells.withColumnsRenamed({name: f"__of_{name}" for name in [*keys, "__cell"]})
     same_cell = reduce(
         and_,
-        [rows[k].eqNullSafe(renamed[f"__key_{k}"]) for k in keys],
-        rows["__cell"] == renamed["__wanted"],
+        [rows[k].eqNullSafe(wanted[f"__of_{k}"]) for k in keys],
+        rows["__cell"] == wanted["__of___cell"],
+    )
+    counted = (
+        rows.join(wanted, same_cell)
+        .groupBy(*keys, "__cell", "__v", "__start", *_TOTALS)
+        .agg(F.count(F.lit(1)).alias("__count"))
     )
     upto = (
         W.partitionBy(*keys, "__cell")
         .orderBy("__v")
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
-    return (
-        rows.join(renamed, same_cell)
-        .groupBy(*keys, "__cell", "__start", "__n", "__v")
-        .agg(F.count(F.lit(1)).alias("__count"))
-        .withColumn("__to", F.col("__start") + F.sum("__count").over(upto))
-        .withColumn("__from", F.col("__to") - F.col("__count"))
-        .where(_holds_rank("__from", "__to", probabilities))
+    # One shuffle by group serves the windows and the last aggregation: a group has
+    # at most two wanted cells per probability left.
+    ends = F.col("__start") + F.sum("__count").over(upto)
+    return counted.repartition(*keys).select(
+        *keys, "__v", *_TOTALS, (ends - F.col("__count")).alias("__from"), ends.alias("__to")
     )
 
 
@@ -126,37 +118,35 @@ def exact_percentiles(
         "__cell", _cell(F.col("__v"), resolution)
     )
     cells = stage(_wanted_cells(rows, keys, points), "cells")
-    ranked = _ranked_values(rows, cells, keys, points)
-
-    totals = ["__rows", "__n", "__low", "__high"]
-    blank = [F.lit(None).cast("double").alias(f"__{side}_{i}") for i in range(len(points)) for side in ("a", "b")]
-    found = [
-        F.when(
-            (edge(_position(p)) >= F.col("__from")) & (edge(_position(p)) < F.col("__to")),
-            F.col("__v"),
-        ).alias(f"__{side}_{i}")
-        for i, p in enumerate(points)
-        for side, edge in (("a", F.floor), ("b", F.ceil))
-    ]
-    merged = (
-        cells.select(*keys, *totals, *blank)
-        .unionByName(ranked.select(*keys, *found), allowMissingColumns=True)
-        .groupBy(*keys)
-        .agg(*[F.max(c).alias(c) for c in totals + [f"__{s}_{i}" for i in range(len(points)) for s in "ab"]])
+
+    def value_at(rank: Column) -> Column:
+        inside = (rank >= F.col("__from")) & (rank < F.col("__to"))
+        return F.max(F.when(inside, F.col("__v")))
+
+    found = (
+        _ranked_values(rows, cells, keys, points)
+        .groupBy(*keys, *_TOTALS)
+        .agg(
+            *[value_at(F.floor(_position(p))).alias(f"__low_{i}") for i, p in enumerate(points)],
+            *[value_at(F.ceil(_position(p))).alias(f"__high_{i}") for i, p in enumerate(points)],
+        )
     )
 
     def interpolated(i: int, p: float) -> Column:
         share = _position(p) - F.floor(_position(p))
-        low, high = F.col(f"__a_{i}"), F.col(f"__b_{i}")
+        low, high = F.col(f"__low_{i}"), F.col(f"__high_{i}")
         return F.when(share == 0, low).otherwise(low * (1 - share) + high * share)
 
-    return merged.select(
+    names = ["row_count", "value_count", "minimum", "maximum"]
+    totals = [F.col(total).alias(name) for total, name in zip(_TOTALS, names)]
+    return found.select(
         *keys,
-        F.col("__rows").alias("row_count"),
-        F.col("__n").alias("value_count"),
-        F.col("__low").alias("minimum"),
-        F.col("__high").alias("maximum"),
+        *totals,
         *[interpolated(i, p).alias(name) for i, (name, p) in enumerate(probabilities.items())],
+    ).union(
+        cells.where(F.col("__n") == 0).select(
+            *keys, *totals, *[F.lit(None).cast("double").alias(name) for name in probabilities]
+        )
     )
 
 

@@ -55,12 +55,13 @@ def files_to_summary(
     """Files to monthly summary; the star schema stays in ``store``.
 
     The files are parsed once: the cleaned rows are staged as a columnar table, from
-    which the fact and the locations each read only their own columns.
+    which the fact and the locations each read only their own columns. Nothing reads
+    the full postcode, so it is not staged.
     """
     with step("ingest"):
         raw = read_price_paid(spark, paths, RAW_COLUMNS_USED)
     with step("transform"):
-        clean = stage(star_schema.clean_price_paid(raw), "clean")
+        clean = stage(star_schema.clean_price_paid(raw).drop("postcode"), "clean")
     write_star_schema(clean, store, step)
     return summarise_star_schema(store, approximate, step)
 

@@ -1,5 +1,7 @@
 """Schemas, keys and fixed reference values shared by all modules."""
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -174,11 +176,11 @@ DEFAULT_CONFIGURATIONS = ["01 executors 08/08 cores 56g/56g memory", "02 vCores"
 
 def literal_rows(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
     """A small fixed table that is made inside the plan, by one task of the JVM."""
-    entries = [
-        F.struct(*[F.lit(value).cast(f.dataType).alias(f.name) for value, f in zip(row, schema)])
-        for row in rows
-    ]
-    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*entries)))
+    names = schema.fieldNames()
+    text = json.dumps([dict(zip(names, row)) for row in rows])
+    return spark.range(0, 1, 1, 1).select(
+        F.inline(F.from_json(F.lit(text), T.ArrayType(schema)))
+    )
 
 
 def stages(spark: SparkSession) -> DataFrame:

@@ -1,0 +1,86 @@
+"""Exact percentiles against Spark's own, which serve as brute force here."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from housemark.operators.percentiles import exact_median, exact_percentiles
+
+POINTS = {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p99": 0.99, "p100": 1.0}
+
+
+def brute_force(frame, keys):
+    return frame.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.count("v").alias("value_count"),
+        F.min("v").alias("minimum"),
+        F.max("v").alias("maximum"),
+        *[F.percentile("v", p).alias(name) for name, p in POINTS.items()],
+    )
+
+
+def rows_of(frame):
+    return sorted(map(str, frame.collect()))
+
+
+def close(a, b, keys):
+    """Equal but for the last bits of an interpolated value."""
+    a = {str([r[k] for k in keys]): r for r in a.collect()}
+    b = {str([r[k] for k in keys]): r for r in b.collect()}
+    assert a.keys() == b.keys()
+    for key, row in a.items():
+        for name in row.asDict():
+            if name in POINTS and row[name] is not None:
+                assert row[name] == pytest.approx(b[key][name], rel=1e-14, nan_ok=True)
+            else:
+                assert str(row[name]) == str(b[key][name]), (key, name)
+
+
+def made(spark, rows):
+    return spark.createDataFrame(rows, "k string, g int, v double")
+
+
+@pytest.mark.parametrize("resolution", [1, 256])
+@pytest.mark.parametrize("threshold", ["10MB", "-1"])
+def test_against_brute_force(spark, resolution, threshold):
+    draw = random.Random(5)
+    rows = []
+    for key in ["a", "b", None]:
+        for group in [0, 1, None]:
+            for _ in range(draw.choice([1, 2, 7, 200])):
+                value = draw.choice(
+                    [None, 0.0, round(draw.uniform(-50, 50), 2), draw.uniform(-1e9, 1e9), 42.0]
+                )
+                rows.append((key, group, value))
+    rows += [("nulls", 1, None)] * 3
+    frame = made(spark, rows)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        found = exact_percentiles(frame, ["k", "g"], "v", POINTS, resolution)
+        close(found, brute_force(frame, ["k", "g"]), ["k", "g"])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_special_values_sort_as_in_spark(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [("x", 1, v) for v in (nan, inf, -inf, 1.0, -1.0)] + [("y", 1, v) for v in (nan, 2.0, nan)]
+    found = {r.k: r for r in exact_percentiles(made(spark, rows), ["k"], "v", POINTS).collect()}
+    assert (found["x"].p0, found["x"].p25, found["x"].p50, found["x"].p75) == (-inf, -1.0, 1.0, inf)
+    assert str(found["x"].p100) == str(found["y"].p50) == "nan"
+    assert found["y"].p0 == 2.0
+
+
+def test_hot_value_in_a_hot_group(spark):
+    frame = spark.range(200_000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"),
+        F.when(F.col("id") % 2 == 0, 250000.0).otherwise(F.col("id") * 1.25).alias("v"),
+    )
+    close(exact_percentiles(frame, ["k"], "v", POINTS), brute_force(frame, ["k"]), ["k"])
+
+
+def test_median_of_integers_and_of_nothing(spark):
+    frame = made(spark, [("a", 4, None), ("a", 1, None), ("a", 3, None), ("a", 2, None)])
+    assert exact_median(frame, ["k"], "g", "m").collect()[0].m == 2.5
+    assert exact_median(frame.where("g > 9"), ["k"], "g", "m").count() == 0

@@ -4,7 +4,6 @@ import pytest
 
 from housemark.operators import run_analytics, star_schema, summaries
 from housemark.operators.run_log import order_stages
-from housemark.plans.registry import queries
 from housemark.schemas import DATES, PRICES
 from housemark.sources import testdata
 
@@ -54,10 +53,3 @@ def test_previews_keep_few_rows_per_task(spark):
     frame = spark.range(1000).toDF("a")
     assert "TakeOrderedAndProject" in plan(summaries.preview(frame, ["a"]))
     assert "TakeOrderedAndProject" in plan(summaries.sample_rows(frame))
-
-
-@pytest.mark.parametrize("name", sorted(queries()))
-def test_no_python_and_no_cross_joins(spark, name):
-    text = plan(queries()[name](spark, FOLDER))
-    for node in ("EvalPython", "MapInPandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
-        assert node not in text

@@ -87,6 +87,22 @@ def time_cost_scatter(analytics: DataFrame) -> DataFrame:
         ),
         "runs",
     )
-    times = exact_median(runs, by, "__time", "median_time")
-    costs = exact_median(runs, by, "__cost", "median_cost")
-    return times.join(costs, by).join(run_count(runs, by), by)
+    # Both medians in one pass, and groups with a NULL label kept.
+    measured = runs.select(
+        *by,
+        F.inline(
+            F.array(
+                F.struct(F.lit("time").alias("__kind"), F.col("__time").alias("__value")),
+                F.struct(F.lit("cost").alias("__kind"), F.col("__cost").alias("__value")),
+            )
+        ),
+    )
+    medians = exact_median(measured, [*by, "__kind"], "__value", "__median").select(
+        *by,
+        F.when(F.col("__kind") == "time", F.col("__median")).alias("median_time"),
+        F.when(F.col("__kind") == "cost", F.col("__median")).alias("median_cost"),
+    )
+    points = medians.unionByName(run_count(runs, by), allowMissingColumns=True)
+    return points.groupBy(*by).agg(
+        *[F.max(name).alias(name) for name in ("median_time", "median_cost", "run_count")]
+    )

@@ -42,8 +42,19 @@ _SETTINGS_SCHEMA = layout(
 )
 
 
+# The columns in use; a given schema saves Spark a look into the files.
+_TABLES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_nationkey int, c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, value double, props string",
+}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(_TABLES[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def price_paid_raw(spark: SparkSession, folder: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from housemark import schemas
 from housemark.functions.prices import decode, decode_by_map, postcode_area
 from housemark.operators import star_schema, summaries
-from housemark.plans import price_jobs
+from housemark.plans import price_jobs, views
 from housemark.sources import price_files
 
 LINES = [
@@ -194,6 +194,20 @@ def test_files_to_summary(spark, raw, store):
     assert approx.count() == 2
 
 
+def test_sql_over_views(spark, raw, store):
+    price_files.write_price_paid(raw, store.path("raw"))
+    price_jobs.files_to_summary(spark, store.path("raw"), store)
+    views.register_files(raw)
+    views.register_star_schema(store)
+    assert spark.sql("SELECT count(*) FROM price_paid_raw JOIN price_paid_data USING (price)").first()[0] == 3
+    found = spark.sql(
+        "SELECT month_tag, count(*) AS n, max(price) AS top FROM prices "
+        "LEFT JOIN dates ON date_of_transfer = date GROUP BY month_tag ORDER BY month_tag"
+    )
+    assert [tuple(r) for r in found.collect()] == [(None, 2, 250.5), ("2025_01", 1, 100.0), ("2025_03", 1, 7.0)]
+    assert spark.table("locations").count() == 3
+
+
 def test_transactions_add_up(spark, store):
     rows = [(float(i % 7), date(2024, 1 + i % 12, 1 + i % 28), "AB"[i % 2]) for i in range(500)]
     prices = prices_frame(spark, rows)

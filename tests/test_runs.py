@@ -9,7 +9,7 @@ from housemark import schemas
 from housemark.functions.runs import run_started_at, whole_milliseconds
 from housemark.operators import measures, run_analytics
 from housemark.operators.run_log import StageRecord, derive_configuration, order_stages, records_frame
-from housemark.plans import run_jobs
+from housemark.plans import run_jobs, views
 
 START = datetime(2025, 1, 5, 12, 0, 0)
 
@@ -177,6 +177,11 @@ def test_report_measures(analytics):
     assert detail["r5", "ingest"].sum_cu_per_second == 8
 
 
+def test_scatter_keeps_groups_without_a_label(analytics):
+    unnamed = analytics.withColumn("platform", F.lit(None).cast("string"))
+    assert measures.time_cost_scatter(unnamed).count() == measures.time_cost_scatter(analytics).count()
+
+
 def test_wall_clock(log):
     assert by(run_analytics.run_wall_clock(log), "run_timestamp")["r2",].wall_clock_ms == 20_000
 
@@ -235,6 +240,8 @@ def test_log_to_report(spark, log, store):
     run_jobs.write_dimensions(spark, store)
     assert (store.read("stages").count(), store.read("configurations").count()) == (10, 11)
     stored = run_jobs.build_analytics(log, store)
+    views.register_run_tables(store)
+    assert spark.sql("SELECT count(*) FROM benchmark_analytics JOIN stages USING (stage_name)").first()[0] == 10
     tables = run_jobs.report(stored)
     assert {name: frame.count() for name, frame in tables.items()} == {
         "provisioning": 1,

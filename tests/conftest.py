@@ -15,7 +15,7 @@ from housemark.sources.tables import TableStore  # noqa: E402
 def spark():
     session = build_session(
         "tests",
-        "local[8]",
+        "local[4]",
         {
             "spark.sql.shuffle.partitions": "4",
             "spark.driver.memory": "6g",

@@ -105,13 +105,17 @@ def median_execution(analytics: DataFrame, name: str = "median_execution_time")
     return _median_per_configuration(execution_per_run(analytics), "total_execution_time", name)
 
 
-def unit_cost(analytics: DataFrame) -> DataFrame:
-    """Median execution time times the cost units per second."""
-    return median_execution(analytics).withColumn(
+def _with_cost(medians: DataFrame) -> DataFrame:
+    return medians.withColumn(
         "total_cu_cost", F.col("median_execution_time") * F.col("cu_per_second")
     )
 
 
+def unit_cost(analytics: DataFrame) -> DataFrame:
+    """Median execution time times the cost units per second."""
+    return _with_cost(median_execution(analytics))
+
+
 def _provisioning(analytics: DataFrame) -> DataFrame:
     setup = analytics.where(F.col("stage_name") == "setup")
     return stage(setup.select("platform", "configuration", "stage_time_delta"), "setup")
@@ -188,13 +192,40 @@ def default_environments(
 
 
 def elapsed_vs_cost(analytics: DataFrame) -> DataFrame:
-    medians = median_elapsed(analytics, "median_total_elapsed_time")
-    return medians.join(unit_cost(analytics), CONFIG_KEY)
+    """Median elapsed time next to cost; both medians come out of one pass."""
+    ms = as_milliseconds(F.col("stage_time_delta"))
+    runs_at_all = F.col("phase") != SETUP_PHASE
+    totals = analytics.groupBy(*RUN_KEY).agg(
+        F.coalesce(F.sum(ms), F.lit(0)).alias("elapsed"),
+        # NULL for a run that never left the setup phase: it has no execution time.
+        F.when(
+            F.count_if(runs_at_all) > 0, F.coalesce(F.sum(F.when(runs_at_all, ms)), F.lit(0))
+        ).alias("execution"),
+    )
+    kinds = F.array(
+        *[
+            F.struct(F.lit(kind).alias("kind"), as_seconds(F.col(kind)).alias("seconds"))
+            for kind in ("elapsed", "execution")
+        ]
+    )
+    runs = totals.select(*CONFIG_KEY, F.inline(kinds)).where(F.col("seconds").isNotNull())
+    medians = stage(
+        exact_median(stage(runs, "runs"), [*CONFIG_KEY, "kind"], "seconds", "median"), "medians"
+    )
+    elapsed = medians.where(F.col("kind") == "elapsed").select(
+        *CONFIG_KEY, F.col("median").alias("median_total_elapsed_time")
+    )
+    execution = medians.where(F.col("kind") == "execution").select(
+        *CONFIG_KEY, F.col("median").alias("median_execution_time")
+    )
+    return elapsed.join(_with_cost(execution), CONFIG_KEY)
 
 
 def execution_vs_cost(analytics: DataFrame) -> DataFrame:
-    medians = median_execution(analytics, "median_total_execution_time")
-    return medians.join(unit_cost(analytics), CONFIG_KEY)
+    """Median execution time next to the cost that follows from it."""
+    medians = stage(median_execution(analytics), "medians")
+    renamed = medians.withColumnRenamed("median_execution_time", "median_total_execution_time")
+    return renamed.join(_with_cost(medians), CONFIG_KEY)
 
 
 def max_memory_by_stage(analytics: DataFrame) -> DataFrame:

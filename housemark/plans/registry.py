@@ -252,10 +252,6 @@ def _analytics(spark: SparkSession, folder: str) -> DataFrame:
     return run_analytics.enrich(_log(spark, folder), BOUNDED)
 
 
-def _stored_analytics(spark: SparkSession, folder: str) -> DataFrame:
-    return run_jobs.build_analytics(_log(spark, folder), _store(spark), BOUNDED)
-
-
 def _reported(spark: SparkSession, folder: str) -> DataFrame:
     return run_analytics.select_configurations(_analytics(spark, folder))
 
@@ -431,14 +427,12 @@ def cheapest_10(spark, folder):
 
 @_query
 def elapsed_vs_cost(spark, folder):
-    stored = _stored_analytics(spark, folder)
-    return run_analytics.elapsed_vs_cost(run_analytics.select_configurations(stored))
+    return run_analytics.elapsed_vs_cost(_reported(spark, folder))
 
 
 @_query
 def execution_vs_cost(spark, folder):
-    stored = _stored_analytics(spark, folder)
-    return run_analytics.execution_vs_cost(run_analytics.select_configurations(stored))
+    return run_analytics.execution_vs_cost(_reported(spark, folder))
 
 
 @_query

@@ -129,8 +129,8 @@ def run_records(
     made = {
         "platform": F.when(F.col("v_cores").isNull(), "cluster").otherwise("single_node"),
         "configuration": F.col("configuration"),
-        "workload_name": F.format_string(
-            "engine_%d", F.call_function("div", F.col("user_id"), F.lit(len(_SETTINGS))) % 4
+        "workload_name": F.concat_ws(
+            "_", F.lit("engine"), F.call_function("div", F.col("user_id"), F.lit(len(_SETTINGS))) % 4
         ),
         "run_timestamp": F.concat_ws(
             "_", F.col("user_id"), F.call_function("div", place, F.lit(size))

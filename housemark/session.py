@@ -1,5 +1,7 @@
 """Session settings that the jobs are written for."""
 
+import math
+
 from pyspark.sql import SparkSession
 
 # Batch jobs gain more from throughput than from short pauses.
@@ -18,9 +20,28 @@ SETTINGS = {
 }
 
 
+_SHUFFLE_BYTES = 128 << 20
+_MOST_PARTITIONS = 200_000
+
+
+def size_settings(input_bytes: int, cores: int) -> dict[str, str]:
+    """Partition counts for jobs on ``input_bytes`` of files with ``cores`` task slots.
+
+    Adaptive execution merges small shuffle partitions, but does not split large
+    ones, so the number starts from the whole input at about 128 MiB each.
+    """
+    partitions = min(max(math.ceil(input_bytes / _SHUFFLE_BYTES), cores), _MOST_PARTITIONS)
+    read_bytes = "512m" if input_bytes > (10 << 40) else "128m"
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": read_bytes,
+    }
+
+
 def build_session(
     name: str = "housemark", master: str | None = None, settings: dict[str, str] | None = None
 ) -> SparkSession:
+    """A session with ``SETTINGS``, overridden and extended by ``settings``."""
     builder = SparkSession.builder.appName(name)
     if master:
         builder = builder.master(master)

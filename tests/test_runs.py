@@ -9,7 +9,9 @@ from housemark import schemas
 from housemark.functions.runs import run_started_at, whole_milliseconds
 from housemark.operators import measures, run_analytics
 from housemark.operators.run_log import StageRecord, derive_configuration, order_stages, records_frame
-from housemark.plans import run_jobs, views
+from housemark.plans import price_jobs, run_jobs, views
+from housemark.session import size_settings
+from housemark.sources import price_files, testdata
 
 START = datetime(2025, 1, 5, 12, 0, 0)
 
@@ -236,6 +238,24 @@ def test_recorder_appends_its_run_once(spark, store):
     assert (rows[0].run_timestamp, rows[0].stage_time, rows[0].cpu_count) == ("20250105_120000", START, 2)
 
 
+def test_recorded_price_run_has_all_stages_in_order(spark, store):
+    raw = testdata.price_paid_raw(spark, "/root/testdata/sf0.001")
+    price_files.write_price_paid(raw, store.path("raw"))
+    recorder = run_jobs.RunRecorder(spark, "single_node", "02 vCores", "prices")
+    recorder.capture("setup")
+    price_jobs.files_to_summary(spark, store.path("raw"), store, step=recorder.step, force=True)
+    rows = recorder.export(store).orderBy("order").collect()
+    assert [r.stage_name for r in rows] == schemas.EXECUTION_ORDER
+    # Forced steps take time, also those that only build a plan.
+    assert all(r.stage_time_delta > 0 for r in rows if r.order > 2)
+
+
+def test_session_sizes_follow_the_input():
+    assert size_settings(1 << 20, 8)["spark.sql.shuffle.partitions"] == "8"
+    assert size_settings(1 << 40, 8)["spark.sql.shuffle.partitions"] == "8192"
+    assert int(size_settings(10**16, 8)["spark.sql.shuffle.partitions"]) == 200_000
+
+
 def test_log_to_report(spark, log, store):
     run_jobs.write_dimensions(spark, store)
     assert (store.read("stages").count(), store.read("configurations").count()) == (10, 11)

@@ -9,7 +9,7 @@ from a small table of slice totals. All other keys keep the plain window.
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
-from operator import and_
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -19,6 +19,9 @@ from housemark.sources.scratch import stage
 
 ROWS_PER_SLICE = 2_000_000
 
+# A large key is first cut into this many ranges of about equal size.
+RANGES = 32
+
 # Only the largest keys are sliced, which bounds the table that is broadcast. A key
 # that is left out holds less than a ten-thousandth of all rows.
 MOST_HOT_KEYS = 10_000
@@ -40,41 +43,59 @@ def _match(frame: DataFrame, other: DataFrame, keys: Sequence[str]) -> Column:
 def _hot_keys(
     frame: DataFrame, keys: Sequence[str], position: Column, rows_per_slice: int
 ) -> DataFrame | None:
-    """The large keys with their number of slices; None if there is no large key.
+    """The large keys and how to slice them; None if there is no large key.
 
-    At most ``MOST_HOT_KEYS`` rows come to the driver.
+    At most ``MOST_HOT_KEYS`` rows come to the driver, each with the ends of ranges
+    that hold about the same number of the key's rows.
     """
+    spark = frame.sparkSession
+    names = [f"__hot_{k}" for k in keys]
     sizes = (
         frame.groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("__n"),
-            F.min(position).alias("__first"),
-            F.max(position).alias("__last"),
-        )
+        .agg(F.count(F.lit(1)).alias("__n"))
         .where(F.col("__n") > rows_per_slice)
         .orderBy(F.desc("__n"))
         .limit(MOST_HOT_KEYS)
         .select(
-            *[F.col(k).alias(f"__hot_{k}") for k in keys],
-            "__first",
-            "__last",
-            F.ceil(F.col("__n") / rows_per_slice).alias("__slices"),
+            *[F.col(k).alias(name) for k, name in zip(keys, names)],
+            F.ceil(F.col("__n") / (rows_per_slice * RANGES)).alias("__pieces"),
         )
     )
     found = sizes.collect()
-    return frame.sparkSession.createDataFrame(found, sizes.schema) if found else None
+    if not found:
+        return None
+    hot = spark.createDataFrame(found, sizes.schema)
+    ends = F.percentile_approx(
+        position.cast("double"), [i / RANGES for i in range(RANGES + 1)], 100 * RANGES
+    )
+    ranges = (
+        frame.join(F.broadcast(hot), _match(frame, hot, keys))
+        .groupBy(*names, "__pieces")
+        .agg(ends.alias("__ends"))
+    )
+    return spark.createDataFrame(ranges.collect(), ranges.schema)
 
 
-def _sliced(frame: DataFrame, keys: Sequence[str], position: Column, hot: DataFrame) -> DataFrame:
-    """Add ``__slice``: NULL for keys that stay whole, else rising with the position."""
+def _sliced(
+    frame: DataFrame, keys: Sequence[str], position: Column, hot: DataFrame
+) -> DataFrame:
+    """Add ``__slice``: NULL for keys that stay whole, else rising with the position.
+
+    The ranges make slices even where the positions are not; each is cut into
+    pieces of equal width.
+    """
     joined = frame.join(F.broadcast(hot), _match(frame, hot, keys), "left")
-    share = (position - F.col("__first")) / (F.col("__last") - F.col("__first") + 1)
-    numbered = F.least(F.floor(share * F.col("__slices")), F.col("__slices") - 1)
-    piece = F.when(
-        F.col("__slices").isNotNull(), F.coalesce(numbered, F.lit(0).cast("bigint"))
-    )
-    return joined.withColumn("__slice", piece).drop(
-        *[f"__hot_{k}" for k in keys], "__first", "__last", "__slices"
+    at, ends = position.cast("double"), F.col("__ends")
+    number = reduce(add, [(at >= ends[i]).cast("int") for i in range(1, RANGES)])
+    first, last = F.get(ends, F.col("__range")), F.get(ends, F.col("__range") + 1)
+    share = (at - first) / (last - first + 1)
+    piece = F.floor(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * F.col("__pieces"))
+    whole = F.col("__range") * F.col("__pieces") + F.least(piece, F.col("__pieces") - 1)
+    # A NULL position sorts first.
+    return (
+        joined.withColumn("__range", F.when(ends.isNotNull(), F.coalesce(number, F.lit(0))))
+        .withColumn("__slice", F.when(ends.isNotNull(), F.coalesce(whole, F.lit(-1))))
+        .drop(*[f"__hot_{k}" for k in keys], "__pieces", "__ends", "__range")
     )
 
 

@@ -44,5 +44,22 @@ def test_each_alone(events, want):
     assert computed(events, 50, want) == computed(events, None, want)
 
 
+def test_slices_are_even_where_positions_are_not(spark):
+    """Nearly all rows within a thousandth of the time."""
+    frame = spark.range(20_000).select(
+        F.lit("hot").alias("user"),
+        F.when(F.col("id") % 100 == 0, F.col("id") * 1_000_000).otherwise(F.col("id")).alias("at"),
+    )
+    hot = ordered._hot_keys(frame, ["user"], F.col("at"), 100)
+    slices = ordered._sliced(frame, ["user"], F.col("at"), hot).groupBy("__slice").count()
+    assert slices.agg(F.max("count")).first()[0] < 1000
+
+
+def test_null_positions_come_first(spark):
+    rows = [(i, "hot", None if i % 3 == 0 else i % 11, 1) for i in range(60)]
+    events = spark.createDataFrame(rows, "id int, user string, at int, v int")
+    assert computed(events, 4) == computed(events, None)
+
+
 def test_no_rows(events):
     assert computed(events.where("id < 0"), 5) == []

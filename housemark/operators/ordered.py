@@ -9,7 +9,7 @@ from a small table of slice totals. All other keys keep the plain window.
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
-from operator import add, and_
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -86,14 +86,15 @@ def _sliced(
     """
     joined = frame.join(F.broadcast(hot), _match(frame, hot, keys), "left")
     at, ends = position.cast("double"), F.col("__ends")
-    number = reduce(add, [(at >= ends[i]).cast("int") for i in range(1, RANGES)])
+    passed = F.size(F.filter(ends, lambda end: end <= at)) - 1
+    number = F.least(F.greatest(passed, F.lit(0)), F.lit(RANGES - 1))
     first, last = F.get(ends, F.col("__range")), F.get(ends, F.col("__range") + 1)
     share = (at - first) / (last - first + 1)
     piece = F.floor(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * F.col("__pieces"))
     whole = F.col("__range") * F.col("__pieces") + F.least(piece, F.col("__pieces") - 1)
     # A NULL position sorts first.
     return (
-        joined.withColumn("__range", F.when(ends.isNotNull(), F.coalesce(number, F.lit(0))))
+        joined.withColumn("__range", F.when(ends.isNotNull(), number))
         .withColumn("__slice", F.when(ends.isNotNull(), F.coalesce(whole, F.lit(-1))))
         .drop(*[f"__hot_{k}" for k in keys], "__pieces", "__ends", "__range")
     )

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from housemark.sources.scratch import stage
 
-ROWS_PER_SLICE = 2_000_000
+ROWS_PER_SLICE = 5_000_000
 
 # A large key is first cut into this many ranges of about equal size.
 RANGES = 32

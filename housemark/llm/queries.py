@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from housemark.llm import embeddings, mixing, simhash
+from housemark.llm import embeddings, mixing, packing, quality_rules, simhash
 from housemark.llm.tables import table
 from housemark.sources.scratch import stage
 
@@ -22,6 +22,16 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), with_ids=False)
+
+
+def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "source", "text")
+    counted = stage(quality_rules.with_statistics(docs).drop("text"), "counted")
+    return quality_rules.with_verdict(counted).drop("lang", "source")
+
+
 def op8_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, folder, "embeddings"))
 
@@ -42,6 +52,8 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash": op1_simhash,
+        "op2_packing": op2_packing,
+        "op3_quality_rules": op3_quality_rules,
         "op8_embeddings": op8_embeddings,
         "op10_mixing": op10_mixing,
     }

@@ -14,7 +14,6 @@ lost task repeats the same groups.
 import base64
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -35,7 +34,6 @@ LINEAR, QUADRATIC = 1.0, 1.0 / 512
 _ROWS = 64
 
 
-@cache
 def tokenizer(path: str) -> tiktoken.Encoding:
     """The byte-level vocabulary at ``path``, read from its ranks.
 

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from housemark.llm import embeddings, mixing, packing, quality_rules, simhash
+from housemark.llm import embeddings, mixing, packing, quality_rules, secrets, simhash
 from housemark.llm.tables import table
 from housemark.sources.scratch import stage
 
@@ -32,6 +32,17 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.with_verdict(counted).drop("lang", "source")
 
 
+def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    base = F.filter("secrets", lambda x: x["kind"] != "learned")
+    return secrets.with_spans(docs).select(
+        "doc_id",
+        *(secrets.count("secrets", k).alias(f"n_{k}") for k in secrets.KINDS),
+        F.sha2(secrets.joined(base), 256).alias("base_sha256"),
+        secrets.joined(F.col("secrets")).alias("spans"),
+    )
+
+
 def op8_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, folder, "embeddings"))
 
@@ -54,6 +65,7 @@ def queries() -> dict[str, Query]:
         "op1_simhash": op1_simhash,
         "op2_packing": op2_packing,
         "op3_quality_rules": op3_quality_rules,
+        "op4_secrets": op4_secrets,
         "op8_embeddings": op8_embeddings,
         "op10_mixing": op10_mixing,
     }

@@ -5,8 +5,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from housemark.llm import embeddings, mixing, packing, quality_rules, secrets, simhash
-from housemark.llm.tables import table
+from housemark.llm import (
+    embeddings,
+    mixing,
+    packing,
+    quality_classifier,
+    quality_rules,
+    secrets,
+    simhash,
+)
+from housemark.llm.tables import remainder, table
 from housemark.sources.scratch import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +51,20 @@ def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    described = stage(quality_classifier.with_statistics(docs).drop("text"), "described")
+    held_out = remainder(F.col("doc_id"), 5) == 0
+    labels = table(spark, folder, "labels").select("doc_id", "quality")
+    classes = quality_classifier.fit(described.where(~held_out).join(labels, "doc_id"), "quality")
+    return quality_classifier.with_scores(described, classes).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        (F.col("score") >= quality_classifier.LEAST_SCORE).cast("int").alias("predicted"),
+    )
+
+
 def op8_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, folder, "embeddings"))
 
@@ -66,6 +88,7 @@ def queries() -> dict[str, Query]:
         "op2_packing": op2_packing,
         "op3_quality_rules": op3_quality_rules,
         "op4_secrets": op4_secrets,
+        "op7_quality_classifier": op7_quality_classifier,
         "op8_embeddings": op8_embeddings,
         "op10_mixing": op10_mixing,
     }

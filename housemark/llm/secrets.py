@@ -37,7 +37,7 @@ RUN = re.compile(rb"[A-Za-z0-9+/_.=-]{12,}")
 RUN_SYMBOLS = 69
 
 EXAMPLES = 500
-LEAST_GAIN = 15.0
+LEAST_GAIN = 20.0
 MASK = "[SECRET]"
 
 _CACHED = 200_000

@@ -67,13 +67,15 @@ def with_copies(
         F.sum("_rows").alias("_of"),
     )
     targets = stage(source_targets(sizes, weights, share, most_copies, seed), "targets")
-    several = slices.where("_slices > 1").select("_source", "size", "_slices")
+    several = stage(slices.where("_slices > 1").select("_source", "size", "_slices"), "several")
     cut = (
         rows.withColumn("_tie", F.md5(key.cast("binary")))
         .join(several, ["_source", "size"], "left")
         .withColumn("_slice", F.floor(_drawn("_tie") * F.coalesce("_slices", F.lit(1))))
     )
     piece = ["_source", "size", "_slice"]
+    # Dealt out by piece: else the join's own shuffle would keep the slices of a size together.
+    cut = cut.repartition(*piece)
     along = Window.partitionBy("_source").orderBy("size", "_slice")
     counts = cut.groupBy(*piece).agg(F.count("*").alias("_rows"))
     earlier = F.sum("_rows").over(along.rowsBetween(Window.unboundedPreceding, -1))

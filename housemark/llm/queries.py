@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from housemark.llm import (
     embeddings,
+    lm_scoring,
     mixing,
     packing,
     quality_classifier,
@@ -69,6 +70,11 @@ def op8_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, folder, "embeddings"))
 
 
+def op9_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return lm_scoring.score(docs, remainder(F.col("doc_id"), 7) == 2)
+
+
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "source", "text")
     sized = stage(mixing.measured(docs).drop("text"), "sized")
@@ -90,6 +96,7 @@ def queries() -> dict[str, Query]:
         "op4_secrets": op4_secrets,
         "op7_quality_classifier": op7_quality_classifier,
         "op8_embeddings": op8_embeddings,
+        "op9_lm_scoring": op9_lm_scoring,
         "op10_mixing": op10_mixing,
     }
 

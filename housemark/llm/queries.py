@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from housemark.llm import (
     embeddings,
+    html_extraction,
     lm_scoring,
     mixing,
     packing,
@@ -52,6 +53,13 @@ def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    pages = html_extraction.with_text(table(spark, folder, "pages"))
+    return pages.select(
+        "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars")
+    )
+
+
 def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     described = stage(quality_classifier.with_statistics(docs).drop("text"), "described")
@@ -94,6 +102,7 @@ def queries() -> dict[str, Query]:
         "op2_packing": op2_packing,
         "op3_quality_rules": op3_quality_rules,
         "op4_secrets": op4_secrets,
+        "op6_html_extraction": op6_html_extraction,
         "op7_quality_classifier": op7_quality_classifier,
         "op8_embeddings": op8_embeddings,
         "op9_lm_scoring": op9_lm_scoring,

@@ -1,8 +1,97 @@
-"""The corpus pipeline; its stages call operators of ``housemark.llm``."""
+"""The corpus pipeline: rules, near-dedup, secrets, mixing, packing.
 
-STAGES: list = []
+``STAGES`` are applied to ``documents`` in order; each stage's rows are written as Parquet
+and read again as the next one's documents. All but the last return the columns of
+``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from housemark.llm import mixing, packing, quality_rules, secrets, simhash
+from housemark.llm.tables import table
+from housemark.sources.scratch import stage
+
+
+# Stages keep a row as the struct ``_doc`` beside what their operator adds, so that no added
+# column can clash with one of the documents. ``_row`` numbers the rows of a scan, which reads
+# the same files alike each time.
+_DOC = "_doc"
+
+
+def _beside(docs: DataFrame, *names: str) -> DataFrame:
+    return docs.select(F.struct(*docs.columns).alias(_DOC), *names)
+
+
+def _numbered(docs: DataFrame, *names: str) -> DataFrame:
+    return _beside(docs, *names).withColumn("_row", F.monotonically_increasing_id())
+
+
+def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules keep: neither too short nor repetitive, no outliers."""
+    rows = _beside(docs, "lang", "source", "text")
+    counted = stage(quality_rules.with_statistics(rows).drop("text"), "counted")
+    return quality_rules.with_verdict(counted).where("kept").select(f"{_DOC}.*")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near-equal fingerprints: that of smallest id.
+
+    Of rows with equal ids the first one stays; null ids come last.
+    """
+    rows = _numbered(docs, "doc_id", "text")
+    marked = simhash.with_fingerprints(rows.drop(_DOC)).drop("text")
+    classes = simhash.near_duplicates(stage(marked, "marked"))
+    # Folded before the shuffle: a component may hold a third of all documents.
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    best = classes.groupBy("component").agg(F.min_by("_row", order).alias("_row"))
+    return rows.join(best, "_row", "left_semi").select(f"{_DOC}.*")
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every secret span of the text masked and ``n_chars`` counted anew."""
+    rest = F.struct(*(c for c in docs.columns if c != "text")).alias(_DOC)
+    masked = secrets.with_spans(docs.select(rest, "text"), mask=True)
+    chars = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    own = F.col(f"{_DOC}.n_chars")
+    changed = {
+        "text": F.col("text"),
+        "n_chars": F.when(F.size("secrets") > 0, chars).otherwise(own).alias("n_chars"),
+    }
+    return masked.select(*(changed.get(c, F.col(f"{_DOC}.{c}")) for c in docs.columns))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As many copies of each document as the mix takes, none included."""
+    rows = _numbered(docs, "doc_id", "source", "text")
+    sized = stage(mixing.measured(rows.drop(_DOC)).drop("text"), "sized")
+    taken = mixing.with_copies(sized).where("copies > 0").select("_row", "copies")
+    copies = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    return rows.select(_DOC, "_row").join(taken, "_row").withColumn("_copy", copies).select(f"{_DOC}.*")
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their ids and places in sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", apply_quality_rules),
+    ("SimHash near-dedup", drop_near_duplicates),
+    ("secret scans", mask_secrets),
+    ("mixing sources to target weights", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: Fingerprints, inferred automata and subword ids are beyond SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, function in STAGES[:-1]:
+        docs = stage(function(spark, docs, sf_dir), name.replace(" ", "_"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -15,6 +15,7 @@ from housemark.llm import (
     quality_rules,
     secrets,
     simhash,
+    token_counts,
 )
 from housemark.llm.tables import remainder, table
 from housemark.sources.scratch import stage
@@ -53,6 +54,11 @@ def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return token_counts.with_token_counts(docs).drop("text")
+
+
 def op6_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     pages = html_extraction.with_text(table(spark, folder, "pages"))
     return pages.select(
@@ -102,6 +108,7 @@ def queries() -> dict[str, Query]:
         "op2_packing": op2_packing,
         "op3_quality_rules": op3_quality_rules,
         "op4_secrets": op4_secrets,
+        "op5_token_counts": op5_token_counts,
         "op6_html_extraction": op6_html_extraction,
         "op7_quality_classifier": op7_quality_classifier,
         "op8_embeddings": op8_embeddings,

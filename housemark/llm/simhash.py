@@ -102,13 +102,15 @@ def components(fingerprints: DataFrame, most_bits: int = MOST_BITS, block: int =
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", most_bits: int = MOST_BITS
 ) -> DataFrame:
-    """``docs``, which have a ``fingerprint``, plus ``component_id``.
+    """``docs``, which have a ``fingerprint``, plus ``component`` and ``component_id``.
 
-    That is the smallest id that links reach, the document's own included; null ids are
-    passed over, and a component without another id has a null one. Rows are kept as they
-    are, repeated ones too. Reads ``docs`` twice: stage what is costly to compute.
+    Linked rows have one ``component``, one of their fingerprints. ``component_id`` is the
+    smallest id that links reach, the document's own included; null ids are passed over, and
+    a component without another id has a null one. Rows are kept as they are, repeated ones
+    too. Columns of these names are replaced. Reads ``docs`` twice: stage what is costly to
+    compute.
     """
-    docs = docs.drop("component_id")
+    docs = docs.drop("component", "component_id")
     least = stage(docs.groupBy("fingerprint").agg(F.min(doc_id).alias("least")), "fingerprints")
     roots = components(least, most_bits).withColumnRenamed("node", "fingerprint")
     rooted = stage(
@@ -118,7 +120,9 @@ def near_duplicates(
         "roots",
     )
     classes = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = rooted.join(classes, "root").select("fingerprint", "component_id")
+    known = rooted.join(classes, "root").select(
+        "fingerprint", F.col("root").alias("component"), "component_id"
+    )
     return docs.join(known, "fingerprint", "left")
 
 

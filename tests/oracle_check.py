@@ -15,6 +15,7 @@ _SAME = {
     "VARCHAR": "string",
     "BIGINT": "bigint",
     "INTEGER": "int",
+    "BOOLEAN": "boolean",
     "DOUBLE": "double",
     "DATE": "date",
     "TIMESTAMP": "timestamp",

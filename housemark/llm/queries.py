@@ -10,6 +10,7 @@ from housemark.llm import (
     html_extraction,
     lm_scoring,
     mixing,
+    oracle,
     packing,
     quality_classifier,
     quality_rules,
@@ -40,7 +41,7 @@ def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "lang", "source", "text")
     counted = stage(quality_rules.with_statistics(docs).drop("text"), "counted")
-    return quality_rules.with_verdict(counted).drop("lang", "source")
+    return quality_rules.with_verdict(counted).drop("lang", "source", "distance")
 
 
 def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
@@ -118,4 +119,8 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others are tested against brute force or held-out rows."""
+    return {
+        "op3_quality_rules": oracle.quality_rules_sql(),
+        "op10_mixing": oracle.mixing_sql(),
+    }

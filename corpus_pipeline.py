@@ -32,7 +32,7 @@ def _numbered(docs: DataFrame, *names: str) -> DataFrame:
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep: neither too short nor repetitive, no outliers."""
     rows = _beside(docs, "lang", "source", "text")
-    counted = stage(quality_rules.with_statistics(rows).drop("text"), "counted")
+    counted = quality_rules.with_statistics(rows).drop("text")
     return quality_rules.with_verdict(counted).where("kept").select(f"{_DOC}.*")
 
 

@@ -120,9 +120,10 @@ def with_verdict(
 
     Documents that failed the base rules are not kept, have no distance, and take no part
     in the estimates. A null language or source is a value of its own. Small groups lean on
-    the fixed spreads. Reads ``docs`` several times: stage what is costly to compute.
+    the fixed spreads. ``docs`` is written once, since a filter on its counts would otherwise
+    be pushed into their computation, and read several times.
     """
-    docs = docs.drop("distance", "kept")
+    docs = stage(docs.drop("distance", "kept"), "counted")
     group = F.struct(F.col(lang).alias("lang"), F.col(source).alias("source")).alias("_group")
     rows = docs.where(~F.col("base_failed")).select(group, *_vector())
     kept = rows

@@ -1,0 +1,77 @@
+import numpy as np
+import pytest
+
+from housemark.llm import quality_classifier as classifier
+from housemark.llm.queries import op7_quality_classifier
+
+
+def described(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, statistics array<double>, label int")
+
+
+def normals(rng, n, mean, scale):
+    return [[float(v) for v in mean + scale * rng.normal(size=classifier.N_STATISTICS)] for _ in range(n)]
+
+
+def slow_scores(rows, labels, x, shrinkage=classifier.SHRINKAGE):
+    rows, labels = np.array(rows), np.array(labels)
+    covariances = [np.cov(rows[labels == k].T, bias=True) for k in (0, 1)]
+    shares = [np.mean(labels == k) for k in (0, 1)]
+    pooled = shares[0] * covariances[0] + shares[1] * covariances[1]
+    target = np.diag(np.maximum(np.diag(pooled), classifier.LEAST_VARIANCE))
+    logs = []
+    for k in (0, 1):
+        cov = (1 - shrinkage) * covariances[k] + shrinkage * target
+        gap = x - rows[labels == k].mean(axis=0)
+        distance = np.einsum("ij,jk,ik->i", gap, np.linalg.inv(cov), gap)
+        logs.append(np.log(shares[k]) - 0.5 * distance - 0.5 * np.linalg.slogdet(cov)[1])
+    return 1 / (1 + np.exp(logs[0] - logs[1]))
+
+
+def test_scores_equal_plain_linear_algebra(spark):
+    rng = np.random.default_rng(1)
+    rows = normals(rng, 80, 0.0, 1.0) + normals(rng, 40, 0.4, 2.0)
+    labels = [1] * 80 + [0] * 40
+    frame = described(spark, list(zip(range(120), rows, labels)))
+    classes = classifier.fit(frame, "label")
+    found = {r.doc_id: r.score for r in classifier.with_scores(frame, classes).collect()}
+    wanted = slow_scores(rows, labels, np.array(rows))
+    assert [found[i] for i in range(120)] == pytest.approx(list(wanted), rel=1e-6)
+
+
+def test_held_out_accuracy(spark):
+    folder = "/root/testdata/sf0.01"
+    found = op7_quality_classifier(spark, folder)
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    rows = found.join(labels, "doc_id").where("held_out").collect()
+    assert len(rows) > 50
+    assert np.mean([r.predicted == r.quality for r in rows]) >= 0.95
+    good = [r.score for r in rows if r.quality == 1]
+    bad = [r.score for r in rows if r.quality == 0]
+    assert np.mean([g > b for g in good for b in bad]) > 0.98
+
+
+@pytest.mark.parametrize("labels, share", [([], 0.5), ([1, 1, 1], 1.0), ([0, 1, 1, 1], 0.75), ([None, 7], 0.5)])
+def test_too_few_labels(spark, labels, share):
+    rng = np.random.default_rng(2)
+    rows = normals(rng, max(1, len(labels)), 0.0, 1.0)
+    frame = described(spark, [(i, x, v) for i, (x, v) in enumerate(zip(rows, labels or [None]))])
+    classes = classifier.fit(frame, "label")
+    scores = [r.score for r in classifier.with_scores(frame, classes).collect()]
+    assert scores == pytest.approx([share] * len(rows))
+
+
+def test_odd_rows(spark, odd):
+    rows = classifier.with_statistics(odd).collect()
+    assert len(rows) == 11 and rows[0]["kept"] == "own kept"
+    assert all(len(r.statistics) == classifier.N_STATISTICS for r in rows)
+    assert all(np.isfinite(r.statistics).all() for r in rows)
+    empty = [r.statistics for r in rows if not (r.text or "").strip(" \t\n\x0b\x0c\r")]
+    assert empty == [[0.0] * classifier.N_STATISTICS] * 4
+    labelled = classifier.with_statistics(odd.selectExpr("*", "int(doc_id % 2) AS label"))
+    scored = classifier.with_scores(labelled, classifier.fit(labelled, "label")).collect()
+    assert all(0 <= r.score <= 1 for r in scored) and len(scored) == 11
+
+
+def test_no_rows(none):
+    assert classifier.with_statistics(none).collect() == []

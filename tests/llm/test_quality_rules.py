@@ -1,0 +1,89 @@
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from housemark.llm import quality_rules
+
+
+def slow(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    counts = Counter(windows)
+    again = {i + k for i, w in enumerate(windows) if counts[w] > 1 for k in range(3)}
+    return (
+        len(words),
+        sum(map(len, words)),
+        len(re.findall(r"[#*$%&|<>]", text or "")),
+        len(lines) - len(set(lines)),
+        len(again),
+        len(words) < 50 or 100 * len(again) > 50 * len(words),
+    )
+
+
+COUNTS = "n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed".split()
+
+
+def test_counts_equal_brute_force(spark, odd):
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("ab\n #é\t\r\x85 &", k=rng.randrange(300))) for _ in range(150)]
+    texts += ["a b c a b c", "a a a a", "a b", "\n\n", " x\nx \nx\n x"]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    for docs in (frame, odd.select("text", "n_symbols", "base_failed", "kept")):
+        rows = quality_rules.with_statistics(docs).collect()
+        assert [tuple(r[c] for c in COUNTS) for r in rows] == [slow(r.text) for r in rows]
+
+
+def text_of(rng, symbol=""):
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randrange(3, 9))) + symbol
+    return " ".join(word() for _ in range(rng.randrange(60, 200)))
+
+
+def slow_distances(x, steps=3, part=0.75):
+    """Concentration steps of one group, in plain linear algebra."""
+    weight, spread = quality_rules.SPREAD_ROWS, np.diag(np.array(quality_rules.SPREADS) ** 2)
+    mean, cov = np.median(x, axis=0), spread
+    for _ in range(steps + 1):
+        gaps = x - mean
+        distances = np.einsum("ij,jk,ik->i", gaps, np.linalg.inv(cov), gaps)
+        bins = np.floor(64 * np.log1p(distances))
+        near = x[bins <= np.quantile(bins, part)]
+        mean = near.mean(axis=0)
+        cov = ((near - mean).T @ (near - mean) + weight * spread) / (len(near) + weight)
+    return distances / quality_rules.CORRECTION
+
+
+def test_outliers_are_those_of_plain_concentration_steps(spark):
+    rng = random.Random(8)
+    rows = [(i, text_of(rng, "&&&" if i % 9 == 0 else ""), "en", f"s{i % 2}") for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    counted = quality_rules.with_statistics(docs)
+    found = quality_rules.with_verdict(counted).collect()
+    assert {r.doc_id for r in found if not r.kept} == set(range(0, 240, 9))
+    for source in ("s0", "s1"):
+        own = [r for r in found if r.source == source]
+        counts = ["word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+        x = np.array([[round(1000 * np.log1p(r[c] / r.n_words)) for c in counts] for r in own], float)
+        assert np.allclose([r.distance for r in own], slow_distances(x), rtol=1e-6)
+
+
+def test_repeated_rows_of_one_group_are_kept(spark):
+    text = text_of(random.Random(1))
+    docs = spark.createDataFrame([(text, None, "a")] * 30, "text string, lang string, source string")
+    found = quality_rules.with_verdict(quality_rules.with_statistics(docs)).collect()
+    assert all(r.kept and r.distance == pytest.approx(0) for r in found) and len(found) == 30
+
+
+def test_odd_rows(odd):
+    counted = quality_rules.with_statistics(odd)
+    found = quality_rules.with_verdict(counted).collect()
+    assert len(found) == 11 and found[0]["size"] == "own size"
+    assert all((r.distance is None) == r.base_failed for r in found)
+    assert not any(r.kept for r in found if r.base_failed)
+
+
+def test_no_rows(none):
+    assert quality_rules.with_verdict(quality_rules.with_statistics(none)).collect() == []

@@ -51,5 +51,7 @@ def cluster_cores(executors: Column, driver_cores: Column, executor_cores: Colum
 
 
 def cost_units(total_v_cores: Column) -> Column:
-    """Cost units per second: half a unit per core."""
-    return F.call_function("div", total_v_cores, F.lit(2))
+    """Cost units per second: half a unit per core; an odd number of cores is an error."""
+    odd = F.raise_error(F.concat(F.lit("odd number of cores: "), total_v_cores.cast("string")))
+    whole = F.call_function("div", total_v_cores, F.lit(2))
+    return F.when(total_v_cores % 2 != 0, odd.cast("bigint")).otherwise(whole)

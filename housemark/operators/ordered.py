@@ -1,9 +1,11 @@
-"""Row number, previous value and running total within keys, safe for hot keys.
-
-A plain window puts all rows of a key into one task. Keys with more than
-``rows_per_slice`` rows are therefore cut along the order into slices: each slice
-is a window partition of its own, and what came before it in the key is added
-from a small table of slice totals. All other keys keep the plain window.
+"""Row number, previous value and running total within keys of any size.
+
+A plain window puts all rows of a key into one task. Here the rows are first dealt out in
+ranges of the keys, the order and a hash of the whole row, so that also a key with a third of
+all rows, a burst, or many rows with equal positions come apart; rows that are equal in every
+column are all that stay together. Each range of a key is then a window of its own, and what
+precedes it in its key is added from a table of range totals. Only keys that span ranges have
+rows in that table, at most two for each range.
 """
 
 from collections.abc import Sequence
@@ -17,15 +19,6 @@ from pyspark.sql import functions as F
 
 from housemark.sources.scratch import stage
 
-ROWS_PER_SLICE = 5_000_000
-
-# A large key is first cut into this many ranges of about equal size.
-RANGES = 32
-
-# Only the largest keys are sliced, which bounds the table that is broadcast. A key
-# that is left out holds less than a ten-thousandth of all rows.
-MOST_HOT_KEYS = 10_000
-
 
 @dataclass(frozen=True)
 class Running:
@@ -36,152 +29,88 @@ class Running:
     total: tuple[str, str] | None = None
 
 
-def _match(frame: DataFrame, other: DataFrame, keys: Sequence[str]) -> Column:
-    return reduce(and_, [frame[k].eqNullSafe(other[f"__hot_{k}"]) for k in keys])
-
-
-def _hot_keys(
-    frame: DataFrame, keys: Sequence[str], position: Column, rows_per_slice: int
-) -> DataFrame | None:
-    """The large keys and how to slice them; None if there is no large key.
+def running(
+    frame: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    want: Running,
+    bounded: bool = False,
+    ranges: int | None = None,
+) -> DataFrame:
+    """Add the columns of ``want`` to ``frame``, computed per key in ``order``.
 
-    At most ``MOST_HOT_KEYS`` rows come to the driver, each with the ends of ranges
-    that hold about the same number of the key's rows.
+    The rows are written once, with the number of their range: ranges come from a sample,
+    and both uses of them have to agree. ``ranges`` is Spark's number of shuffle partitions
+    unless given. ``bounded`` says that the data model bounds the rows of a key, which makes
+    this a plain, lazy window.
     """
-    spark = frame.sparkSession
-    names = [f"__hot_{k}" for k in keys]
-    sizes = (
-        frame.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .where(F.col("__n") > rows_per_slice)
-        .orderBy(F.desc("__n"))
-        .limit(MOST_HOT_KEYS)
-        .select(
-            *[F.col(k).alias(name) for k, name in zip(keys, names)],
-            F.ceil(F.col("__n") / (rows_per_slice * RANGES)).alias("__pieces"),
-        )
-    )
-    found = sizes.collect()
-    if not found:
-        return None
-    hot = spark.createDataFrame(found, sizes.schema)
-    ends = F.percentile_approx(
-        position.cast("double"), [i / RANGES for i in range(RANGES + 1)], 100 * RANGES
-    )
-    ranges = (
-        frame.join(F.broadcast(hot), _match(frame, hot, keys))
-        .groupBy(*names, "__pieces")
-        .agg(ends.alias("__ends"))
+    keys, order = list(keys), list(order)
+    if bounded:
+        return _within(frame, keys, order, want)
+    ranged = stage(in_ranges(frame, keys, order, ranges), "ranged")
+    local = _within(ranged, [*keys, "__range"], [*order, "__tie"], want)
+    carried = _carried(ranged, keys, [*order, "__tie"], want)
+    same = [local[k].eqNullSafe(carried[f"__of_{k}"]) for k in keys]
+    joined = local.join(
+        carried, reduce(and_, same, local["__range"] == carried["__of_range"]), "left"
     )
-    return spark.createDataFrame(ranges.collect(), ranges.schema)
+    made = {}
+    if want.number:
+        before = F.coalesce(F.col("__rows_before"), F.lit(0))
+        made[want.number] = (before + F.col("__place")).cast("bigint")
+    if want.previous:
+        out = want.previous[1]
+        made[out] = F.when(F.col("__place") == 1, F.col("__tail_before")).otherwise(F.col(out))
+    if want.total:
+        out, before = want.total[1], F.col("__sum_before")
+        made[out] = F.when(before.isNull(), F.col(out)).otherwise(
+            before + F.coalesce(F.col(out), F.lit(0))
+        )
+    return joined.withColumns(made).select(*frame.columns, *made)
 
 
-def _sliced(
-    frame: DataFrame, keys: Sequence[str], position: Column, hot: DataFrame
+def in_ranges(
+    frame: DataFrame, keys: Sequence[str], order: Sequence[str], ranges: int | None = None
 ) -> DataFrame:
-    """Add ``__slice``: NULL for keys that stay whole, else rising with the position.
-
-    The ranges make slices even where the positions are not; each is cut into
-    pieces of equal width.
-    """
-    joined = frame.join(F.broadcast(hot), _match(frame, hot, keys), "left")
-    at, ends = position.cast("double"), F.col("__ends")
-    passed = F.size(F.filter(ends, lambda end: end <= at)) - 1
-    number = F.least(F.greatest(passed, F.lit(0)), F.lit(RANGES - 1))
-    first, last = F.get(ends, F.col("__range")), F.get(ends, F.col("__range") + 1)
-    share = (at - first) / (last - first + 1)
-    piece = F.floor(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * F.col("__pieces"))
-    whole = F.col("__range") * F.col("__pieces") + F.least(piece, F.col("__pieces") - 1)
-    # A NULL position sorts first.
-    return (
-        joined.withColumn("__range", F.when(ends.isNotNull(), number))
-        .withColumn("__slice", F.when(ends.isNotNull(), F.coalesce(whole, F.lit(-1))))
-        .drop(*[f"__hot_{k}" for k in keys], "__pieces", "__ends", "__range")
-    )
+    """``frame`` dealt out by range, with its range as ``__range`` and the hash ``__tie``."""
+    tied = frame.withColumn("__tie", F.xxhash64(*frame.columns))
+    by = [*keys, *order, "__tie"]
+    dealt = tied.repartitionByRange(ranges, *by) if ranges else tied.repartitionByRange(*by)
+    return dealt.withColumn("__range", F.spark_partition_id())
 
 
-def _carried(sliced: DataFrame, keys: Sequence[str], order: Sequence[str], want: Running) -> DataFrame:
-    """What each slice of a hot key takes over from the slices before it."""
+def _carried(ranged: DataFrame, keys: Sequence[str], order: Sequence[str], want: Running) -> DataFrame:
+    """What each range of a key that spans ranges takes over from those before it."""
     held = [F.count(F.lit(1)).alias("__rows")]
     if want.previous:
         held.append(F.max_by(want.previous[0], F.struct(*order)).alias("__tail"))
     if want.total:
         held.append(F.sum(want.total[0]).alias("__sum"))
-    slices = sliced.where(F.col("__slice").isNotNull()).groupBy(*keys, "__slice").agg(*held)
-
-    in_order = W.partitionBy(*keys).orderBy("__slice")
+    totals = ranged.groupBy(*keys, "__range").agg(*held)
+    in_order = W.partitionBy(*keys).orderBy("__range")
     before = in_order.rowsBetween(W.unboundedPreceding, -1)
     taken = [F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__rows_before")]
     if want.previous:
         taken.append(F.lag("__tail").over(in_order).alias("__tail_before"))
     if want.total:
         taken.append(F.sum("__sum").over(before).alias("__sum_before"))
-    return stage(
-        slices.select(
-            *[F.col(k).alias(f"__hot_{k}") for k in keys],
-            F.col("__slice").alias("__hot_slice"),
-            *taken,
-        ),
-        "carried",
-    )
-
-
-def running(
-    frame: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    position: Column,
-    want: Running,
-    rows_per_slice: int | None = ROWS_PER_SLICE,
-) -> DataFrame:
-    """Add the columns of ``want`` to ``frame``, computed per key in ``order``.
-
-    ``position`` is numeric and rises with the first order column. Give ``None`` as
-    ``rows_per_slice`` only where the data model bounds the rows of a key.
-    """
-    keys, order = list(keys), list(order)
-    hot = None if rows_per_slice is None else _hot_keys(frame, keys, position, rows_per_slice)
-    if hot is None:
-        return _within(frame, keys, order, want)
-
-    sliced = _sliced(frame, keys, position, hot)
-    carried = _carried(sliced, keys, order, want)
-    local = _within(sliced, [*keys, "__slice"], order, want)
-    joined = local.join(
-        carried,
-        _match(local, carried, keys) & (local["__slice"] == carried["__hot_slice"]),
-        "left",
+    spanned = F.count(F.lit(1)).over(W.partitionBy(*keys)).alias("__spanned")
+    names = [F.col(k).alias(f"__of_{k}") for k in keys]
+    return (
+        totals.select(*names, F.col("__range").alias("__of_range"), *taken, spanned)
+        .where("__spanned > 1")
+        .drop("__spanned")
     )
-    before = F.coalesce(F.col("__rows_before"), F.lit(0))
-    if want.previous:
-        out = want.previous[1]
-        opens_slice = F.col("__place") == 1
-        joined = joined.withColumn(
-            out, F.when(opens_slice, F.col("__tail_before")).otherwise(F.col(out))
-        )
-    if want.total:
-        out = want.total[1]
-        joined = joined.withColumn(
-            out,
-            F.when(F.col("__sum_before").isNull(), F.col(out)).otherwise(
-                F.col("__sum_before") + F.coalesce(F.col(out), F.lit(0))
-            ),
-        )
-    if want.number:
-        joined = joined.withColumn(want.number, (before + F.col("__place")).cast("bigint"))
-    made = [want.number, want.previous and want.previous[1], want.total and want.total[1]]
-    return joined.select(*frame.columns, *[name for name in made if name])
 
 
 def _within(frame: DataFrame, keys: Sequence[str], order: Sequence[str], want: Running) -> DataFrame:
-    """The plain windows; a sliced frame also gets the place within the slice."""
+    """The plain windows; a frame in ranges also gets the place within the range."""
     rows = W.partitionBy(*keys).orderBy(*order)
-    number = F.row_number().over(rows)
-    made = {}
-    if "__slice" in keys:
-        made["__place"] = number
+    made: dict[str, Column] = {}
+    if "__range" in keys:
+        made["__place"] = F.row_number().over(rows)
     elif want.number:
-        made[want.number] = number.cast("bigint")
+        made[want.number] = F.row_number().over(rows).cast("bigint")
     if want.previous:
         made[want.previous[1]] = F.lag(want.previous[0]).over(rows)
     if want.total:

@@ -4,9 +4,10 @@ Spark's ``median`` and ``percentile`` keep all distinct values of a group in the
 memory of one task, which fails for a group with a large share of a big table.
 Here a group is first cut into cells by magnitude. Counting the cells (one scan,
 with partial aggregation) tells which of them hold the wanted ranks, and only the
-rows of those cells are then counted by value (a second scan) and ranked. A cell
-is ``1 / resolution`` wide relative to its values, so fixed-point data such as
-money or milliseconds can put only a limited number of distinct values into it.
+rows of those cells are then counted by value (a second scan). A cell is
+``1 / resolution`` wide relative to its values, but values close to each other, or a
+very large group, can still put any number of distinct ones into it: they are ranked
+by running totals over ranges (``ordered``), never in one task.
 """
 
 from collections.abc import Mapping, Sequence
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from housemark.operators.ordered import Running, running
 from housemark.sources.scratch import stage
 
 RESOLUTION = 256
@@ -87,15 +89,9 @@ def _ranked_values(
         .groupBy(*keys, "__cell", "__v", "__start", *_TOTALS)
         .agg(F.count(F.lit(1)).alias("__count"))
     )
-    upto = (
-        W.partitionBy(*keys, "__cell")
-        .orderBy("__v")
-        .rowsBetween(W.unboundedPreceding, W.currentRow)
-    )
-    # One shuffle by group serves the windows and the last aggregation: a group has
-    # at most two wanted cells per probability left.
-    ends = F.col("__start") + F.sum("__count").over(upto)
-    return counted.repartition(*keys).select(
+    ranked = running(counted, [*keys, "__cell"], ["__v"], Running(total=("__count", "__upto")))
+    ends = F.col("__start") + F.col("__upto")
+    return ranked.select(
         *keys, "__v", *_TOTALS, (ends - F.col("__count")).alias("__from"), ends.alias("__to")
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from housemark.functions.runs import as_milliseconds, as_seconds, whole_milliseconds
-from housemark.operators.ordered import ROWS_PER_SLICE, Running, running
+from housemark.operators.ordered import Running, running
 from housemark.operators.percentiles import exact_median, exact_percentiles
 from housemark.operators.summaries import ascending
 from housemark.schemas import (
@@ -43,24 +43,23 @@ def join_configurations(log: DataFrame) -> DataFrame:
     return log.join(F.broadcast(configurations(log.sparkSession)), "configuration")
 
 
-def cumulative_time(log: DataFrame, rows_per_slice: int | None = ROWS_PER_SLICE) -> DataFrame:
+def cumulative_time(log: DataFrame, bounded: bool = False) -> DataFrame:
     """Seconds from the start of a run to each stage, NULL for the first one."""
     summed = running(
         log.withColumn("__ms", as_milliseconds(F.col("stage_time_delta"))),
         ONE_RUN,
         ["order"],
-        F.col("order"),
         Running(total=("__ms", "__total")),
-        rows_per_slice,
+        bounded,
     )
     return summed.withColumn("cumulative_time", as_seconds(F.col("__total"))).drop(
         "__ms", "__total"
     )
 
 
-def enrich(log: DataFrame, rows_per_slice: int | None = ROWS_PER_SLICE) -> DataFrame:
+def enrich(log: DataFrame, bounded: bool = False) -> DataFrame:
     """The analytics table: log, both dimensions and cumulative time."""
-    return cumulative_time(join_configurations(join_stages(log)), rows_per_slice)
+    return cumulative_time(join_configurations(join_stages(log)), bounded)
 
 
 def select_configurations(

@@ -15,7 +15,7 @@ from housemark.functions.runs import (
     single_node_label,
     whole_milliseconds,
 )
-from housemark.operators.ordered import ROWS_PER_SLICE, Running, running
+from housemark.operators.ordered import Running, running
 from housemark.schemas import ONE_RUN, RUN_LOG, RUN_RECORD
 
 
@@ -39,20 +39,19 @@ def records_frame(spark: SparkSession, records: Sequence[StageRecord]) -> DataFr
     return spark.createDataFrame([astuple(r) for r in records], RUN_RECORD)
 
 
-def order_stages(records: DataFrame, rows_per_slice: int | None = ROWS_PER_SLICE) -> DataFrame:
+def order_stages(records: DataFrame, bounded: bool = False) -> DataFrame:
     """Number the stages of each run from 1 and measure the seconds between them.
 
     Deltas are whole milliseconds, NULL for the first stage. Equal times are told
-    apart by stage name. ``rows_per_slice`` as in :func:`ordered.running`.
+    apart by stage name. ``bounded`` as in :func:`ordered.running`.
     """
     micros = F.unix_micros("stage_time")
     numbered = running(
         records.withColumn("__at", micros),
         ONE_RUN,
         ["stage_time", "stage_name"],
-        F.col("__at"),
         Running(number="order", previous=("__at", "__before")),
-        rows_per_slice,
+        bounded,
     )
     delta = whole_milliseconds(F.col("__at") - F.col("__before"))
     return numbered.withColumns(

@@ -1,14 +1,14 @@
 """End-to-end price jobs: raw files to star schema to monthly summary."""
 
 from collections.abc import Callable, Sequence
-from contextlib import AbstractContextManager, nullcontext
+from contextlib import AbstractContextManager, ExitStack, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 
 from housemark.operators import star_schema, summaries
 from housemark.schemas import DATES, PRICES, RAW_COLUMNS_USED
 from housemark.sources.price_files import read_price_paid
-from housemark.sources.scratch import stage
+from housemark.sources.scratch import stage, staged
 from housemark.sources.tables import TableStore
 
 # Wraps a named step, for example to time it.
@@ -68,13 +68,15 @@ def files_to_summary(
 
     The files are parsed once: the cleaned rows are staged as a columnar table, from
     which the fact and the locations each read only their own columns. Nothing reads
-    the full postcode, so it is not staged.
+    the full postcode, so it is not staged. The staged rows go once the star schema stands.
     """
     with step("ingest"):
         raw = _run(read_price_paid(spark, paths, RAW_COLUMNS_USED), force)
-    with step("transform"):
-        clean = stage(star_schema.clean_price_paid(raw).drop("postcode"), "clean")
-    write_star_schema(clean, store, step)
+    with ExitStack() as kept:
+        with step("transform"):
+            cleaned = star_schema.clean_price_paid(raw).drop("postcode")
+            clean = kept.enter_context(staged(cleaned, "clean"))
+        write_star_schema(clean, store, step)
     return summarise_star_schema(store, approximate, step, force)
 
 

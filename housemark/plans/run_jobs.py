@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from housemark import schemas
 from housemark.operators import run_analytics
-from housemark.operators.ordered import ROWS_PER_SLICE
 from housemark.operators.run_log import StageRecord, order_stages, records_frame
 from housemark.sources.tables import TableStore
 
@@ -45,22 +44,29 @@ class RunRecorder:
     def export(self, store: TableStore, table: str = "benchmarks") -> DataFrame:
         """Order the records and append them as the batch of this run."""
         records = records_frame(self._spark, self.records)
-        log = order_stages(records, rows_per_slice=None)
-        batch = "-".join(self._run[2:]).replace(" ", "_")
-        store.append(log, table, batch, schemas.RUN_LOG)
+        log = order_stages(records, bounded=True)
+        store.append(log, table, batch_name(self._run), schemas.RUN_LOG)
         return log
 
 
+def batch_name(run: Sequence[str]) -> str:
+    """A name of its own for each run key: all but letters, digits and ``-`` as code points."""
+    return ".".join(
+        "".join(c if c.isascii() and (c.isalnum() or c == "-") else f"_{ord(c):x}_" for c in part)
+        for part in run
+    )
+
+
 def write_dimensions(spark: SparkSession, store: TableStore) -> None:
     store.overwrite(schemas.stages(spark), "stages", files=1)
     store.replace(schemas.configurations(spark).coalesce(1), "configurations")
 
 
 def build_analytics(
-    log: DataFrame, store: TableStore, rows_per_slice: int | None = ROWS_PER_SLICE
+    log: DataFrame, store: TableStore, bounded: bool = False
 ) -> DataFrame:
     """Enrich a log and replace the analytics table with it."""
-    return store.replace(run_analytics.enrich(log, rows_per_slice), "benchmark_analytics")
+    return store.replace(run_analytics.enrich(log, bounded), "benchmark_analytics")
 
 
 def report(

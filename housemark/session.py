@@ -21,7 +21,6 @@ SETTINGS = {
 
 
 _SHUFFLE_BYTES = 128 << 20
-_MOST_PARTITIONS = 200_000
 
 
 def size_settings(input_bytes: int, cores: int) -> dict[str, str]:
@@ -30,11 +29,10 @@ def size_settings(input_bytes: int, cores: int) -> dict[str, str]:
     Adaptive execution merges small shuffle partitions, but does not split large
     ones, so the number starts from the whole input at about 128 MiB each.
     """
-    partitions = min(max(math.ceil(input_bytes / _SHUFFLE_BYTES), cores), _MOST_PARTITIONS)
-    read_bytes = "512m" if input_bytes > (10 << 40) else "128m"
+    partitions = max(math.ceil(input_bytes / _SHUFFLE_BYTES), cores)
     return {
         "spark.sql.shuffle.partitions": str(partitions),
-        "spark.sql.files.maxPartitionBytes": read_bytes,
+        "spark.sql.files.maxPartitionBytes": str(_SHUFFLE_BYTES),
     }
 
 

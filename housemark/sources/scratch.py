@@ -2,6 +2,8 @@
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,6 +59,24 @@ def stage(frame: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+@contextmanager
+def staged(frame: DataFrame, name: str = "stage") -> Iterator[DataFrame]:
+    """Like ``stage``, for the length of a block: the table is removed at its end."""
+    spark = frame.sparkSession
+    path = new_path(spark, name)
+    frame.write.parquet(path)
+    try:
+        yield spark.read.schema(frame.schema).parquet(path)
+    finally:
+        delete_tree(spark, path, scratch_root(spark))
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a writer of files has finished and left its mark at ``path``."""
+    files, folder = _file_system(spark, f"{path.rstrip('/')}/_SUCCESS")
+    return files.exists(folder)
+
+
 def folders(spark: SparkSession, path: str) -> list[str]:
     """Folders directly below ``path``."""
     files, folder = _file_system(spark, path)

@@ -4,11 +4,14 @@ import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from housemark.sources.scratch import delete_tree
+from housemark.sources.scratch import delete_tree, is_complete
 
 BATCH_COLUMN = "batch_id"
+# Formats that are files in folders; any other has its own transactions.
+FILE_FORMATS = {"parquet", "orc", "json", "csv", "avro"}
 
 
 @dataclass(frozen=True)
@@ -49,8 +52,8 @@ class TableStore:
     def append(self, frame: DataFrame, table: str, batch: str, schema: T.StructType) -> None:
         """Add one batch after checking its schema.
 
-        With Parquet a batch owns one folder and replaces it, so a retried append
-        does not double its rows. Other formats append in their own transaction.
+        A batch replaces the rows it wrote before, so a retried append does not double
+        them: with formats of files it owns a folder, others replace where the batch is.
         """
         if not re.fullmatch(r"[A-Za-z0-9_.-]+", batch):
             raise ValueError(f"not a batch name: {batch!r}")
@@ -59,24 +62,29 @@ class TableStore:
         if found != wanted:
             raise ValueError(f"schema of {table} is {wanted}, not {found}")
         writer = frame.write.format(self.table_format)
-        if self.table_format == "parquet":
+        if self.table_format in FILE_FORMATS:
             writer.mode("overwrite").save(f"{self.path(table)}/{BATCH_COLUMN}={batch}")
         else:
-            writer.mode("append").save(self.path(table))
+            named = frame.withColumn(BATCH_COLUMN, F.lit(batch)).write.format(self.table_format)
+            named.mode("overwrite").partitionBy(BATCH_COLUMN).option(
+                "replaceWhere", f"{BATCH_COLUMN} = '{batch}'"
+            ).save(self.path(table))
 
     def read_appended(self, table: str, schema: T.StructType) -> DataFrame:
         """All batches of an appended table, without the batch column."""
-        if self.table_format != "parquet":
-            return self.read(table)
         batched = T.StructType(schema.fields + [T.StructField(BATCH_COLUMN, T.StringType())])
         return self.read(table, batched).drop(BATCH_COLUMN)
 
     def cached(self, frame: DataFrame, table: str, refresh: bool = False) -> DataFrame:
-        """Write only if absent, unless a refresh is asked for; then read."""
-        frame.write.mode("overwrite" if refresh else "ignore").format(self.table_format).save(
-            self.path(table)
-        )
-        return self.read(table)
+        """Write unless a whole table is there and no refresh is asked for; then read.
+
+        What a failed writer left does not count as a table of files.
+        """
+        files = self.table_format in FILE_FORMATS
+        torn = files and not is_complete(self.spark, self.path(table))
+        mode = "overwrite" if refresh or torn else "ignore"
+        frame.write.mode(mode).format(self.table_format).save(self.path(table))
+        return self.read(table, frame.schema)
 
     def drop_all(self, inside: str) -> bool:
         """Remove the whole store, provided that it lies below ``inside``."""

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from housemark.operators.ordered import ROWS_PER_SLICE, Running, running
+from housemark.operators.ordered import Running, running
 from housemark.operators.run_log import derive_configuration
 from housemark.schemas import (
     EXECUTION_ORDER,
@@ -107,9 +107,7 @@ def event_settings(spark: SparkSession, folder: str) -> DataFrame:
     return events.join(F.broadcast(slots), "slot")  # twelve literal rows
 
 
-def run_records(
-    spark: SparkSession, folder: str, rows_per_slice: int | None = ROWS_PER_SLICE
-) -> DataFrame:
+def run_records(spark: SparkSession, folder: str) -> DataFrame:
     """Events as stage records: every ten events of a user, in time order, are one run."""
     numbered = running(
         table(spark, folder, "events").select(
@@ -117,9 +115,7 @@ def run_records(
         ),
         ["user_id"],
         ["ts", "event_id"],
-        F.unix_micros("ts"),
         Running(number="number"),
-        rows_per_slice,
     )
     slots = derive_configuration(literal_rows(spark, _SETTINGS, _SETTINGS_SCHEMA))
     size = len(EXECUTION_ORDER)
@@ -148,5 +144,5 @@ def run_records(
     ).select(*[made[name].alias(name) for name in RUN_RECORD.fieldNames()])
 
 
-# A run of these views has at most ten records, so its windows need no slices.
-RECORDS_PER_RUN_ARE_BOUNDED = None
+# A run of these views has at most ten records, so plain windows do.
+RECORDS_PER_RUN_ARE_BOUNDED = True

@@ -1,12 +1,11 @@
-"""Sliced windows against plain ones."""
+"""Windows in ranges against plain ones."""
 
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from housemark.operators import ordered
-from housemark.operators.ordered import Running, running
+from housemark.operators.ordered import Running, in_ranges, running
 
 WANT = Running(number="n", previous=("v", "p"), total=("v", "t"))
 
@@ -22,43 +21,52 @@ def events(spark):
     return spark.createDataFrame(rows, "id int, user string, at int, v int").cache()
 
 
-def computed(events, rows_per_slice, want=WANT):
-    frame = running(events, ["user"], ["at", "id"], F.col("at"), want, rows_per_slice)
+def computed(events, ranges=None, want=WANT, bounded=False):
+    frame = running(events, ["user"], ["at", "id"], want, bounded, ranges)
     return sorted(map(tuple, frame.collect()), key=lambda r: r[0])
 
 
-@pytest.mark.parametrize("rows_per_slice", [1, 7, 100, 1500])
-def test_slices_change_nothing(events, rows_per_slice):
-    assert computed(events, rows_per_slice) == computed(events, None)
-
-
-def test_keys_that_are_left_out_stay_whole(events, monkeypatch):
-    monkeypatch.setattr(ordered, "MOST_HOT_KEYS", 1)
-    assert computed(events, 7) == computed(events, None)
+@pytest.mark.parametrize("ranges", [None, 1, 2, 9, 150])
+def test_ranges_change_nothing(events, ranges):
+    assert computed(events, ranges) == computed(events, bounded=True)
 
 
 @pytest.mark.parametrize(
     "want", [Running(number="n"), Running(previous=("v", "p")), Running(total=("v", "t"))]
 )
 def test_each_alone(events, want):
-    assert computed(events, 50, want) == computed(events, None, want)
+    assert computed(events, 30, want) == computed(events, want=want, bounded=True)
+
+
+POSITIONS = {
+    "rising": "id",
+    "all equal": "7",
+    "a burst": "if(id % 100 = 0, id * 1000000, id)",
+    "null": "CAST(NULL AS bigint)",
+}
+
+
+@pytest.mark.parametrize("position", POSITIONS)
+def test_one_key_with_all_rows_comes_apart(spark, position):
+    """The largest range has at most three times the mean."""
+    frame = spark.range(40_000).select(F.lit("hot").alias("user"), "id", F.expr(POSITIONS[position]).alias("at"))
+    dealt = in_ranges(frame, ["user"], ["at"], 20).groupBy("__range").count()
+    assert dealt.agg(F.max("count")).first()[0] <= 3 * 40_000 / 20
 
 
-def test_slices_are_even_where_positions_are_not(spark):
-    """Nearly all rows within a thousandth of the time."""
-    frame = spark.range(20_000).select(
-        F.lit("hot").alias("user"),
-        F.when(F.col("id") % 100 == 0, F.col("id") * 1_000_000).otherwise(F.col("id")).alias("at"),
-    )
-    hot = ordered._hot_keys(frame, ["user"], F.col("at"), 100)
-    slices = ordered._sliced(frame, ["user"], F.col("at"), hot).groupBy("__slice").count()
-    assert slices.agg(F.max("count")).first()[0] < 1000
+def test_ties_are_numbered_and_chained_once(spark):
+    frame = spark.range(500).select(F.lit("hot").alias("user"), F.lit(1).alias("at"), "id")
+    want = Running(number="n", previous=("id", "p"), total=("id", "t"))
+    rows = sorted(running(frame, ["user"], ["at"], want, ranges=12).collect(), key=lambda r: r.n)
+    assert [r.n for r in rows] == list(range(1, 501))
+    assert [r.p for r in rows] == [None, *(r.id for r in rows[:-1])]
+    assert rows[-1].t == sum(range(500))
 
 
 def test_null_positions_come_first(spark):
     rows = [(i, "hot", None if i % 3 == 0 else i % 11, 1) for i in range(60)]
     events = spark.createDataFrame(rows, "id int, user string, at int, v int")
-    assert computed(events, 4) == computed(events, None)
+    assert computed(events, 15) == computed(events, bounded=True)
 
 
 def test_no_rows(events):

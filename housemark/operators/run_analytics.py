@@ -190,13 +190,15 @@ def default_environments(
     ).orderBy(*ascending([value, *CONFIG_KEY]))
 
 
-def elapsed_vs_cost(analytics: DataFrame) -> DataFrame:
-    """Median elapsed time next to cost; both medians come out of one pass."""
+def medians_per_configuration(analytics: DataFrame) -> DataFrame:
+    """Median elapsed and execution time, out of one pass over the log.
+
+    The execution time is NULL where no run left the setup phase.
+    """
     ms = as_milliseconds(F.col("stage_time_delta"))
     runs_at_all = F.col("phase") != SETUP_PHASE
     totals = analytics.groupBy(*RUN_KEY).agg(
         F.coalesce(F.sum(ms), F.lit(0)).alias("elapsed"),
-        # NULL for a run that never left the setup phase: it has no execution time.
         F.when(
             F.count_if(runs_at_all) > 0, F.coalesce(F.sum(F.when(runs_at_all, ms)), F.lit(0))
         ).alias("execution"),
@@ -208,23 +210,55 @@ def elapsed_vs_cost(analytics: DataFrame) -> DataFrame:
         ]
     )
     runs = totals.select(*CONFIG_KEY, F.inline(kinds)).where(F.col("seconds").isNotNull())
-    medians = stage(
-        exact_median(stage(runs, "runs"), [*CONFIG_KEY, "kind"], "seconds", "median"), "medians"
+    medians = exact_median(stage(runs, "runs"), [*CONFIG_KEY, "kind"], "seconds", "median")
+
+    def of(kind: str) -> Column:
+        return F.max(F.when(F.col("kind") == kind, F.col("median")))
+
+    return medians.groupBy(*CONFIG_KEY).agg(
+        of("elapsed").alias("median_elapsed_time"), of("execution").alias("median_execution_time")
     )
-    elapsed = medians.where(F.col("kind") == "elapsed").select(
-        *CONFIG_KEY, F.col("median").alias("median_total_elapsed_time")
+
+
+def elapsed_of(medians: DataFrame) -> DataFrame:
+    """The elapsed part of ``medians_per_configuration``."""
+    return medians.select(*CONFIG_KEY, "median_elapsed_time")
+
+
+def execution_of(medians: DataFrame) -> DataFrame:
+    """The execution part of ``medians_per_configuration``."""
+    known = medians.where(F.col("median_execution_time").isNotNull())
+    return known.select(*CONFIG_KEY, "median_execution_time")
+
+
+def unit_cost_of(medians: DataFrame) -> DataFrame:
+    return _with_cost(execution_of(medians))
+
+
+def elapsed_vs_cost_of(medians: DataFrame) -> DataFrame:
+    """Median elapsed time next to the cost, which follows from the execution time."""
+    known = medians.where(F.col("median_execution_time").isNotNull())
+    return _with_cost(
+        known.withColumnRenamed("median_elapsed_time", "median_total_elapsed_time")
     )
-    execution = medians.where(F.col("kind") == "execution").select(
-        *CONFIG_KEY, F.col("median").alias("median_execution_time")
+
+
+def execution_vs_cost_of(medians: DataFrame) -> DataFrame:
+    """Median execution time next to the cost that follows from it."""
+    execution = F.col("median_execution_time")
+    return _with_cost(
+        execution_of(medians).select(
+            *CONFIG_KEY, execution.alias("median_total_execution_time"), execution
+        )
     )
-    return elapsed.join(_with_cost(execution), CONFIG_KEY)
+
+
+def elapsed_vs_cost(analytics: DataFrame) -> DataFrame:
+    return elapsed_vs_cost_of(medians_per_configuration(analytics))
 
 
 def execution_vs_cost(analytics: DataFrame) -> DataFrame:
-    """Median execution time next to the cost that follows from it."""
-    medians = stage(median_execution(analytics), "medians")
-    renamed = medians.withColumnRenamed("median_execution_time", "median_total_execution_time")
-    return renamed.join(_with_cost(medians), CONFIG_KEY)
+    return execution_vs_cost_of(medians_per_configuration(analytics))
 
 
 def max_memory_by_stage(analytics: DataFrame) -> DataFrame:
@@ -245,7 +279,7 @@ def run_detail(analytics: DataFrame) -> DataFrame:
         "cpu_count",
     ).agg(
         F.sum("cu_per_second").alias("sum_cu_per_second"),
-        F.sum("memory_usage").alias("sum_memory_usage"),
+        F.sum(F.col("memory_usage").cast("decimal(38,9)")).cast("double").alias("sum_memory_usage"),
     )
 
 

@@ -47,7 +47,11 @@ def monthly_summary(prices_with_month: DataFrame, count_nulls: bool = True) -> D
 
 
 def monthly_summary_approx(prices_with_month: DataFrame, accuracy: int = 10_000) -> DataFrame:
-    """One scan and a sketch of fixed size per group; the median is an actual price."""
+    """One scan and a sketch of fixed size per group; the median is an actual price.
+
+    It is the exact lower median of a group of at most ``accuracy`` prices; beyond that its
+    rank is off by at most the part ``1 / accuracy`` of the group.
+    """
     return (
         prices_with_month.groupBy(*MONTHLY_KEYS)
         .agg(
@@ -60,14 +64,16 @@ def monthly_summary_approx(prices_with_month: DataFrame, accuracy: int = 10_000)
     )
 
 
+def with_month_and_year(raw: DataFrame) -> DataFrame:
+    """Raw rows with ``month_number`` and ``year`` of the transfer."""
+    return raw.withColumns(
+        {"month_number": F.month("date_of_transfer"), "year": F.year("date_of_transfer")}
+    )
+
+
 def monthly_summary_ym(raw: DataFrame) -> DataFrame:
     """Summary of raw rows by year, month and undecoded property type."""
-    parts = raw.select(
-        F.year("date_of_transfer").alias("year"),
-        F.month("date_of_transfer").alias("month_number"),
-        "property_type",
-        "price",
-    )
+    parts = with_month_and_year(raw)
     return summarise(parts, ["year", "month_number", "property_type"]).orderBy(
         *ascending(["property_type", "year", "month_number"])
     )

@@ -123,6 +123,8 @@ SELECT min(date_of_transfer) AS min_date, max(date_of_transfer) AS max_date FROM
     "locations_readback": f"WITH {_CLEAN} SELECT DISTINCT county, district, town_city FROM clean",
     "price_dates_join": f"WITH {_MONTHS} SELECT * FROM priced",
     "monthly_summary": _MONTHLY,
+    # A sketch of more entries than a group has rows gives the lower median.
+    "monthly_summary_approx": _MONTHLY.replace("median(price)", "quantile_disc(price, 0.5)"),
     "files_to_summary": _MONTHLY,
     "monthly_nonnull": f"""WITH {_MONTHS}
 SELECT month_tag, property_type, count(price) AS number_of_transactions, {_FIGURES}
@@ -310,6 +312,7 @@ _RUN_QUERIES = {
     "run_log": f"WITH {_RECORDS} SELECT * FROM records",
     "stage_order_delta": f"WITH {_LOG} SELECT * FROM log",
     "run_log_append": f"WITH {_LOG} SELECT * FROM log",
+    "run_log_export": f"WITH {_LOG} SELECT * FROM log",
     "run_log_readback": f"WITH {_LOG} SELECT * FROM log",
     "run_started_at": """
 SELECT event_id, strftime(ts, '%Y%m%d_%H%M%S') AS run_timestamp,
@@ -421,5 +424,18 @@ FROM totals_without_setup GROUP BY platform, workload_name, configuration""",
 }
 
 
+# The report builds its tables from the stored analytics table.
+_REPORT_TABLES = {
+    "provisioning": "provisioning_median",
+    "default_environments": "default_environments",
+    "fastest": "fastest_10",
+    "cheapest": "cheapest_10",
+    "elapsed_vs_cost": "elapsed_vs_cost",
+    "execution_vs_cost": "execution_vs_cost",
+    "cumulative": "stage_cumulative_median",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {**_PRICE_QUERIES, **_RUN_QUERIES}
+    reports = {f"report_{name}": _RUN_QUERIES[same] for name, same in _REPORT_TABLES.items()}
+    return {**_PRICE_QUERIES, **_RUN_QUERIES, **reports}

@@ -110,7 +110,7 @@ def raw_inventory(spark, folder):
 
 @_query
 def raw_preview(spark, folder):
-    return summaries.any_rows(_raw(spark, folder))
+    return summaries.any_rows(summaries.with_month_and_year(_raw(spark, folder)))
 
 
 @_query
@@ -268,13 +268,21 @@ def stage_order_delta(spark, folder):
 
 @_query
 def run_log_append(spark, folder):
-    store, log = _store(spark), _log(spark, folder)
-    on_cluster = F.col("platform") == "cluster"
+    store, log = _store(spark), stage(_log(spark, folder), "log")
+    on_cluster = F.col("platform").eqNullSafe("cluster")
     for batch, rows in (("cluster", log.where(on_cluster)), ("single_node", log.where(~on_cluster))):
         store.append(rows, "benchmarks", batch, schemas.RUN_LOG)
     return store.read_appended("benchmarks", schemas.RUN_LOG)
 
 
+@_query
+def run_log_export(spark, folder):
+    """Each run is a batch; the second export of them replaces the first."""
+    store, log = _store(spark), stage(_log(spark, folder), "log")
+    run_jobs.export_runs(log, store)
+    return run_jobs.export_runs(log, store)
+
+
 @_query
 def run_log_readback(spark, folder):
     return _store(spark).overwrite(_log(spark, folder), "benchmarks")
@@ -450,6 +458,28 @@ def stage_cumulative_median(spark, folder):
     return run_analytics.stage_cumulative_median(_reported(spark, folder))
 
 
+def _report_query(name: str) -> None:
+    """A table of the report, built from the stored analytics table."""
+
+    def query(spark, folder):
+        stored = analytics_readback(spark, folder)
+        return run_jobs.report(stored, tables=[name])[name]
+
+    _QUERIES[f"report_{name}"] = query
+
+
+for _name in (
+    "provisioning",
+    "default_environments",
+    "fastest",
+    "cheapest",
+    "elapsed_vs_cost",
+    "execution_vs_cost",
+    "cumulative",
+):
+    _report_query(_name)
+
+
 @_query
 def max_memory_by_stage(spark, folder):
     return run_analytics.max_memory_by_stage(_analytics(spark, folder))

@@ -3,12 +3,16 @@
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from datetime import datetime, timezone
+from functools import cache
+from hashlib import sha256
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from housemark import schemas
 from housemark.operators import run_analytics
 from housemark.operators.run_log import StageRecord, order_stages, records_frame
+from housemark.sources.scratch import stage
 from housemark.sources.tables import TableStore
 
 
@@ -49,12 +53,25 @@ class RunRecorder:
         return log
 
 
-def batch_name(run: Sequence[str]) -> str:
-    """A name of its own for each run key: all but letters, digits and ``-`` as code points."""
-    return ".".join(
-        "".join(c if c.isascii() and (c.isalnum() or c == "-") else f"_{ord(c):x}_" for c in part)
-        for part in run
-    )
+def batch_name(run: Sequence[str | None]) -> str:
+    """A name of its own for each run key: a digest of its parts with their lengths."""
+    parts = (f"{-1 if x is None else len(x)}:{x or ''}" for x in run)
+    return sha256("".join(parts).encode()).hexdigest()
+
+
+def batch_of_run() -> Column:
+    """``batch_name`` of a row of the run log."""
+    parts = []
+    for name in schemas.ONE_RUN:
+        size = F.coalesce(F.char_length(name), F.lit(-1))
+        parts += [size.cast("string"), F.lit(":"), F.coalesce(F.col(name), F.lit(""))]
+    return F.sha2(F.concat(*parts), 256)
+
+
+def export_runs(log: DataFrame, store: TableStore, table: str = "benchmarks") -> DataFrame:
+    """Append an ordered log, each run as a batch of its own; returns the table."""
+    store.append_batches(log, table, batch_of_run(), schemas.RUN_LOG)
+    return store.read_appended(table, schemas.RUN_LOG)
 
 
 def write_dimensions(spark: SparkSession, store: TableStore) -> None:
@@ -70,17 +87,37 @@ def build_analytics(
 
 
 def report(
-    analytics: DataFrame, names: Sequence[str] = tuple(schemas.REPORTED_CONFIGURATIONS)
+    analytics: DataFrame,
+    names: Sequence[str] = tuple(schemas.REPORTED_CONFIGURATIONS),
+    tables: Sequence[str] = (
+        "provisioning",
+        "default_environments",
+        "fastest",
+        "cheapest",
+        "elapsed_vs_cost",
+        "execution_vs_cost",
+        "cumulative",
+    ),
 ) -> dict[str, DataFrame]:
-    """The tables of the report, from the stored analytics table."""
+    """Tables of the report, from the stored analytics table.
+
+    The five tables of medians share one written row for each configuration.
+    """
     chosen = run_analytics.select_configurations(analytics, names)
-    elapsed = run_analytics.median_elapsed(chosen)
-    return {
-        "provisioning": run_analytics.provisioning_median(chosen),
-        "default_environments": run_analytics.default_environments(elapsed),
-        "fastest": run_analytics.fastest(run_analytics.median_execution(chosen)),
-        "cheapest": run_analytics.cheapest(run_analytics.unit_cost(chosen)),
-        "elapsed_vs_cost": run_analytics.elapsed_vs_cost(chosen),
-        "execution_vs_cost": run_analytics.execution_vs_cost(chosen),
-        "cumulative": run_analytics.stage_cumulative_median(chosen),
+
+    @cache
+    def medians() -> DataFrame:
+        return stage(run_analytics.medians_per_configuration(chosen), "medians")
+
+    made = {
+        "provisioning": lambda: run_analytics.provisioning_median(chosen),
+        "default_environments": lambda: run_analytics.default_environments(
+            run_analytics.elapsed_of(medians())
+        ),
+        "fastest": lambda: run_analytics.fastest(run_analytics.execution_of(medians())),
+        "cheapest": lambda: run_analytics.cheapest(run_analytics.unit_cost_of(medians())),
+        "elapsed_vs_cost": lambda: run_analytics.elapsed_vs_cost_of(medians()),
+        "execution_vs_cost": lambda: run_analytics.execution_vs_cost_of(medians()),
+        "cumulative": lambda: run_analytics.stage_cumulative_median(chosen),
     }
+    return {table: made[table]() for table in tables}

@@ -2,14 +2,14 @@
 
 from pyspark.sql import DataFrame
 
-from housemark.operators import star_schema
-from housemark.schemas import DATES, PRICES
+from housemark.operators import star_schema, summaries
+from housemark.schemas import DATES, PRICES, RUN_LOG
 from housemark.sources.tables import TableStore
 
 
 def register_files(raw: DataFrame) -> None:
-    """Lazy views ``price_paid_raw`` and ``price_paid_data`` over raw rows."""
-    raw.createOrReplaceTempView("price_paid_raw")
+    """Lazy views ``price_paid_raw`` (with month and year) and ``price_paid_data``."""
+    summaries.with_month_and_year(raw).createOrReplaceTempView("price_paid_raw")
     star_schema.clean_price_paid(raw).createOrReplaceTempView("price_paid_data")
 
 
@@ -24,3 +24,8 @@ def register_run_tables(store: TableStore) -> None:
     """Views of the run log's dimensions and of the analytics table of a store."""
     for table in ("stages", "configurations", "benchmark_analytics"):
         store.read(table).createOrReplaceTempView(table)
+
+
+def register_run_log(store: TableStore) -> None:
+    """View ``benchmarks`` of a store's appended run log."""
+    store.read_appended("benchmarks", RUN_LOG).createOrReplaceTempView("benchmarks")

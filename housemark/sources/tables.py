@@ -3,7 +3,7 @@
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,10 +57,7 @@ class TableStore:
         """
         if not re.fullmatch(r"[A-Za-z0-9_.-]+", batch):
             raise ValueError(f"not a batch name: {batch!r}")
-        found = [(f.name, f.dataType) for f in frame.schema]
-        wanted = [(f.name, f.dataType) for f in schema]
-        if found != wanted:
-            raise ValueError(f"schema of {table} is {wanted}, not {found}")
+        self._check(frame, table, schema)
         writer = frame.write.format(self.table_format)
         if self.table_format in FILE_FORMATS:
             writer.mode("overwrite").save(f"{self.path(table)}/{BATCH_COLUMN}={batch}")
@@ -70,6 +67,23 @@ class TableStore:
                 "replaceWhere", f"{BATCH_COLUMN} = '{batch}'"
             ).save(self.path(table))
 
+    def append_batches(
+        self, frame: DataFrame, table: str, batch: Column, schema: T.StructType
+    ) -> None:
+        """Add many batches, named by a column, in one job; each replaces its own rows."""
+        self._check(frame, table, schema)
+        named = frame.withColumn(BATCH_COLUMN, batch).repartition(BATCH_COLUMN)
+        named.write.format(self.table_format).mode("overwrite").partitionBy(BATCH_COLUMN).option(
+            "partitionOverwriteMode", "dynamic"
+        ).save(self.path(table))
+
+    @staticmethod
+    def _check(frame: DataFrame, table: str, schema: T.StructType) -> None:
+        found = [(f.name, f.dataType) for f in frame.schema]
+        wanted = [(f.name, f.dataType) for f in schema]
+        if found != wanted:
+            raise ValueError(f"schema of {table} is {wanted}, not {found}")
+
     def read_appended(self, table: str, schema: T.StructType) -> DataFrame:
         """All batches of an appended table, without the batch column."""
         batched = T.StructType(schema.fields + [T.StructField(BATCH_COLUMN, T.StringType())])

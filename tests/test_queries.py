@@ -4,9 +4,12 @@ import pytest
 from oracle_check import connect, differences
 
 import __spark_entry__ as entry
+from housemark.operators import summaries
+from housemark.plans import registry
+from housemark.plans.oracle import oracle_sql as oracle_queries
 
 FOLDER = "/root/testdata/sf0.001"
-ROWS_ONLY = {"raw_inventory", "raw_preview", "sample_rows", "monthly_summary_approx"}
+ROWS_ONLY = {"raw_inventory", "raw_preview", "sample_rows"}
 
 
 @pytest.fixture(scope="module")
@@ -14,12 +17,12 @@ def oracle():
     return connect(FOLDER)
 
 
-def test_only_four_queries_have_no_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == ROWS_ONLY
-    assert set(entry.oracle_sql()) <= set(entry.queries())
+def test_only_three_queries_have_no_sql():
+    assert set(registry.queries()) - set(oracle_queries()) == ROWS_ONLY
+    assert set(oracle_queries()) <= set(registry.queries()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(oracle_queries()))
 def test_equals_sql_without_python_or_cross_joins(spark, oracle, name):
     frame = entry.queries()[name](spark, FOLDER)
     text = frame._jdf.queryExecution().executedPlan().toString()
@@ -33,10 +36,19 @@ def test_rows_only(spark, name, rows):
     assert entry.queries()[name](spark, FOLDER).count() == rows
 
 
-def test_approximate_summary_has_the_exact_groups(spark):
-    exact = entry.queries()["monthly_summary"](spark, FOLDER).drop("median_price").collect()
-    approx = entry.queries()["monthly_summary_approx"](spark, FOLDER).drop("median_price").collect()
-    assert exact == approx
+@pytest.mark.parametrize("name", ["raw_preview", "sample_rows"])
+def test_rows_come_from_the_input(spark, name):
+    raw = summaries.with_month_and_year(registry._raw(spark, FOLDER))
+    whole = raw if name == "raw_preview" else entry.queries()["selected_configurations"](spark, FOLDER)
+    found = entry.queries()[name](spark, FOLDER)
+    assert found.columns == whole.columns
+    assert {tuple(r) for r in found.collect()} <= {tuple(r) for r in whole.collect()}
+
+
+def test_rank_error_of_the_approximate_median(spark):
+    frame = spark.range(50_000).selectExpr("'m' AS month_tag", "'D' AS property_type", "double(id) AS price")
+    median = summaries.monthly_summary_approx(frame, accuracy=100).first().median_price
+    assert abs(median - 25_000) <= 50_000 / 100
 
 
 def test_entry(spark):

@@ -1,6 +1,7 @@
 """Sinks: overwrite, replace, append, cache and guarded removal."""
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from housemark.sources import scratch
@@ -61,3 +62,30 @@ def test_staged_table_is_a_file_scan(spark):
     frame = scratch.stage(spark.range(3).toDF("a"))
     assert "FileScan" in frame._jdf.queryExecution().executedPlan().toString()
     assert values(frame) == [0, 1, 2]
+
+
+def test_retried_appends_of_other_files_replace(spark, store):
+    other = TableStore(spark, store.path("orc"), "orc")
+    for batch, rows in (("one", 2), ("two", 1), ("one", 2)):
+        other.append(spark.range(rows).toDF("a"), "t", batch, SCHEMA)
+    assert values(other.read_appended("t", SCHEMA)) == [0, 0, 1]
+
+
+def test_many_batches_in_one_job_replace_their_own_rows(spark, store):
+    batch = F.concat(F.lit("b"), F.col("a") % 2)
+    store.append_batches(spark.range(4).toDF("a"), "t", batch, SCHEMA)
+    store.append_batches(spark.range(6).where("id % 2 = 0").toDF("a"), "t", batch, SCHEMA)
+    assert values(store.read_appended("t", SCHEMA)) == [0, 1, 2, 3, 4]
+
+
+def test_torn_cache_is_written_again(spark, store):
+    store.cached(spark.range(4).toDF("a"), "t")
+    scratch.delete_tree(spark, f"{store.path('t')}/_SUCCESS", store.root)
+    assert values(store.cached(spark.range(3).toDF("a"), "t")) == [0, 1, 2]
+
+
+def test_staged_rows_go_with_their_block(spark):
+    with scratch.staged(spark.range(3).toDF("a"), "gone") as frame:
+        path = frame.inputFiles()[0].rsplit("/", 1)[0]
+        assert values(frame) == [0, 1, 2] and scratch.is_complete(spark, path)
+    assert not scratch.is_complete(spark, path)

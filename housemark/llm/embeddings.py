@@ -2,10 +2,12 @@
 
 Vectors of one label are compared by the angle between them, which is a metric. Pivots
 (vectors of the data) partition each label: a vector's home is its nearest pivot. By the
-triangle inequality a vector within the angle t of another is nearer to that one's home
-than to its own nearest pivot plus 2 t, so it is replicated to each such cell; a vector
-also needs to be within t of the widest home vector of the cell. A home vector then meets
-all its neighbours in its own cell, and cells are compared independently.
+triangle inequality a vector within the angle t of another is no farther from that one's
+home than from its own nearest pivot plus 2 t, so it is replicated to each such cell, unless
+the plane halfway between that pivot and some other is farther than the chord of t: no
+vector so near has its home beyond that plane. A vector also needs to be within t of the
+widest home vector of the cell. A home vector then meets all its neighbours in its own cell,
+and cells are compared independently.
 
 Equal vectors are folded before; large cells are dealt out in blocks. A cell passes on, for
 each vector, the number of its links and one tree edge at most, never its pairs.
@@ -137,12 +139,15 @@ def _to_pivots(
             values = _matrix(rows.column("vector"))
             own = [i for i, x in enumerate(chosen) if len(x) == size]
             if own:
-                pivots = np.array([chosen[i] for i in own])
-                away = np.arccos(np.clip(_unit(values) @ _unit(pivots).T, -1, 1))
+                pivots = _unit(np.array([chosen[i] for i in own]))
+                cosines = np.clip(_unit(values) @ pivots.T, -1, 1)
+                away, beyond = np.arccos(cosines), _beyond_planes(cosines, pivots, angle)
             else:
-                own, away = [-1], np.zeros((len(at), 1))
+                own, away, beyond = [-1], np.zeros((len(at), 1)), np.zeros((len(at), 1), bool)
             home = away.argmin(axis=1)
-            owner, cell = np.nonzero(away <= away.min(axis=1, keepdims=True) + 2 * angle)
+            near = (away <= away.min(axis=1, keepdims=True) + 2 * angle) & ~beyond
+            near[np.arange(len(at)), home] = True
+            owner, cell = np.nonzero(near)
             taken = pa.array(owner)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -159,6 +164,16 @@ def _to_pivots(
             )
 
 
+def _beyond_planes(cosines: np.ndarray, pivots: np.ndarray, angle: float) -> np.ndarray:
+    """Whether a vector is farther than the chord of ``angle`` from all that is at home there."""
+    chord = 2 * math.sin(angle / 2)
+    beyond = np.zeros(cosines.shape, bool)
+    for other in range(len(pivots)):
+        gaps = np.linalg.norm(pivots - pivots[other], axis=1)
+        beyond |= cosines[:, [other]] - cosines > chord * gaps + _SLACK
+    return beyond
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 

@@ -2,6 +2,7 @@
 
 import html
 import re
+from collections import Counter
 
 # Elements by how they are read.
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript"}
@@ -30,7 +31,7 @@ KEEPS_PARAGRAPH_OPEN = RAW | {"svg", "math", "canvas", "object", "audio", "video
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))"
     r"|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
     re.S,
 )
@@ -51,6 +52,7 @@ class Page:
         self.parents: list[int] = [-1]
         self.pieces: list[tuple[int, str, int]] = []
         self._open = [0]
+        self._names_open: Counter = Counter()
         self._hidden = 0
         self._links = 0
         self._text: list[tuple[str, int]] = []
@@ -91,7 +93,8 @@ class Page:
             if self.tags[self._open[-1]] == "p":
                 self._pop()
             ended, inside = ENDED_BY.get(tag, (set(), set()))
-            for depth in range(len(self._open) - 1, 0, -1):
+            some = any(self._names_open[name] for name in ended)
+            for depth in range(len(self._open) - 1, 0, -1) if some else ():
                 name = self.tags[self._open[depth]]
                 if name in inside:
                     break
@@ -104,6 +107,7 @@ class Page:
         self.names.append(" ".join(found))
         self.parents.append(self._open[-1])
         self._open.append(len(self.tags) - 1)
+        self._names_open[tag] += 1
         self._hidden += tag in HIDDEN
         return at
 
@@ -111,7 +115,7 @@ class Page:
         if tag not in BLOCKS:
             self._links = max(0, self._links - 1) if tag == "a" else self._links
             return
-        for depth in range(len(self._open) - 1, 0, -1):
+        for depth in range(len(self._open) - 1, 0, -1) if self._names_open[tag] else ():
             if self.tags[self._open[depth]] == tag:
                 if tag not in KEEPS_PARAGRAPH_OPEN:
                     self._flush()
@@ -121,7 +125,9 @@ class Page:
 
     def _pop(self) -> None:
         self._flush_if_block()
-        self._hidden -= self.tags[self._open.pop()] in HIDDEN
+        tag = self.tags[self._open.pop()]
+        self._names_open[tag] -= 1
+        self._hidden -= tag in HIDDEN
 
     def _flush_if_block(self) -> None:
         if self.tags[self._open[-1]] not in KEEPS_PARAGRAPH_OPEN:

@@ -10,13 +10,14 @@ distance, after the usual correction for the part kept, is above ``MOST_DISTANCE
 Whole numbers make sums and medians exact whatever the order of rows. Medians and quantiles
 count values of a small range, so they combine before the shuffle and need bounded memory,
 also where one source has a third of all rows; a step sends one row of moments for each
-language and source and task.
+language, source, bin of distance and task. The estimates have one row for each language and
+source; they are broadcast only if they were counted to be few.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from housemark.llm.tables import WHITE, words_column
+from housemark.llm.tables import WHITE, broadcast_if_few, words_column
 from housemark.sources.scratch import stage
 
 WINDOW = 3
@@ -126,22 +127,17 @@ def with_verdict(
     docs = stage(docs.drop("distance", "kept"), "counted")
     group = F.struct(F.col(lang).alias("lang"), F.col(source).alias("source")).alias("_group")
     rows = docs.where(~F.col("base_failed")).select(group, *_vector())
-    kept = rows
     start = rows.groupBy("_group").agg(
         F.lit(0.0).alias("n"),
         *(F.percentile(x, F.lit(0.5)).alias(f"m{i}") for i, x in enumerate(_X)),
         *(F.lit(0.0).alias(f"s{i}{j}") for i, j in _PAIRS),
     )
-    estimate = stage(_factors(start), "estimate")
+    estimate = broadcast_if_few(stage(_factors(start), "estimate"))
     for _ in range(steps):
         binned = rows.join(estimate, "_group").select(
             "_group", *_X, F.floor(64 * F.log1p(_distance())).alias("bin")
         )
-        near = binned.groupBy("_group").agg(
-            F.percentile("bin", F.lit(KEPT_PART)).alias("most")
-        )
-        kept = binned.join(near, "_group").where("bin <= most")
-        estimate = stage(_factors(_moments(kept)), "estimate")
+        estimate = broadcast_if_few(stage(_factors(_moments(binned)), "estimate"))
     measured = docs.select("*", group, *_vector()).join(estimate, "_group", "left")
     distance = F.when(~F.col("base_failed"), _distance() / CORRECTION)
     return measured.withColumn("distance", distance).select(
@@ -159,9 +155,13 @@ def _vector() -> list[Column]:
     ]
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    """Count, means and summed products of deviations for each group."""
-    sums = rows.groupBy("_group").agg(
+def _moments(binned: DataFrame) -> DataFrame:
+    """Count, means and summed products of deviations of each group's nearest rows.
+
+    Sums are taken for each bin of distance first, and then of the bins up to the one that
+    holds the row at ``KEPT_PART`` of the group: no row meets the others of its group.
+    """
+    bins = binned.groupBy("_group", "bin").agg(
         F.count("*").cast("double").alias("n"),
         *(F.sum(F.col(x).cast("double")).alias(f"t{i}") for i, x in enumerate(_X)),
         *(
@@ -169,6 +169,15 @@ def _moments(rows: DataFrame) -> DataFrame:
             for i, j in _PAIRS
         ),
     )
+    group = Window.partitionBy("_group")
+    nearer = group.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.floor((F.sum("n").over(group) - 1) * KEPT_PART)
+    near = bins.withColumn(
+        "_near", F.coalesce(F.sum("n").over(nearer), F.lit(0.0)) <= last
+    ).where("_near")
+    sums = near.groupBy("_group").agg(
+        *(F.sum(c).alias(c) for c in bins.columns if c not in ("_group", "bin"))
+    )
     n = F.col("n")
     return sums.select(
         "_group",

@@ -12,6 +12,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def broadcast_if_few(frame: DataFrame, most_rows: int = 10_000) -> DataFrame:
+    """``frame``, marked for broadcast if it was counted to have at most ``most_rows`` rows.
+
+    Other frames are left to Spark, which shuffles what is not small. Counts at most
+    ``most_rows`` rows and one: give it a written table.
+    """
+    few = frame.limit(most_rows + 1).count() <= most_rows
+    return F.broadcast(frame) if few else frame
+
+
 def words_column(text) -> F.Column:
     """Array of the words of a text column; none for a null or blank text."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(WHITE))

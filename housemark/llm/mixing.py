@@ -11,13 +11,14 @@ once for each whole number that its own part of the sum crosses.
 
 The order is cut into pieces (source, size, slice) of bounded size, so that a source with a
 third of all rows is numbered by many tasks: rows are numbered inside pieces, and what
-precedes a piece comes from the table of piece counts.
+precedes a piece comes from running totals of the piece counts, themselves in ranges.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from housemark.llm.tables import words_column
+from housemark.operators.ordered import Running, running
 from housemark.sources.scratch import stage
 
 # The weights of sources in their order, repeating.
@@ -25,7 +26,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST_COPIES = 2
 SEED = "mix-1"
-ROWS_PER_PIECE = 100_000
+ROWS_PER_PIECE = 1000
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -76,11 +77,10 @@ def with_copies(
     piece = ["_source", "size", "_slice"]
     # Dealt out by piece: else the join's own shuffle would keep the slices of a size together.
     cut = cut.repartition(*piece)
-    along = Window.partitionBy("_source").orderBy("size", "_slice")
     counts = cut.groupBy(*piece).agg(F.count("*").alias("_rows"))
-    earlier = F.sum("_rows").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    summed = running(counts, ["_source"], ["size", "_slice"], Running(total=("_rows", "_upto")))
     before = (
-        counts.withColumn("_before", F.coalesce(earlier, F.lit(0)))
+        summed.withColumn("_before", F.col("_upto") - F.col("_rows"))
         .join(targets, F.col("_source.name").eqNullSafe(F.col("_name")))
         .select(*piece, "_before", "_of", "source_size", "target", "_expected", "_offset")
     )

@@ -5,12 +5,14 @@ thousandths: letters in a word, symbols, repeated lines, words in repeated windo
 language and source the minimum covariance determinant is sought by concentration steps:
 from medians and fixed spreads, keep the ``KEPT_PART`` of rows nearest by Mahalanobis
 distance, take their mean and covariance, and repeat. A document is rejected if its squared
-distance, after the usual correction for the part kept, is above ``MOST_DISTANCE``.
+distance, after the usual correction for the part kept, is above ``MOST_DISTANCE``. Equal texts
+of a group count once in the estimates, so that copies cannot fill the part kept.
 
 Whole numbers make sums and medians exact whatever the order of rows. Medians and quantiles
 count values of a small range, so they combine before the shuffle and need bounded memory,
 also where one source has a third of all rows; a step sends one row of moments for each
-language, source, bin of distance and task. The estimates have one row for each language and
+language, source, bin of distance and task. Copies are folded in their task before they are
+dealt out by their hash. The estimates have one row for each language and
 source; they are broadcast only if they were counted to be few.
 """
 
@@ -44,14 +46,17 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` plus the counts of the whole text and ``base_failed``.
 
     ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines`` and ``n_repeat_words`` are 0
-    for a null text. Windows are compared by 64-bit hashes. Columns of these names are
-    replaced.
+    for a null text. Windows are compared by 64-bit hashes. ``_text_hash`` tells equal texts
+    for ``with_verdict``, which drops it. Columns of these names are replaced.
     """
-    docs = docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    docs = docs.drop(
+        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "_text_hash"
+    )
     names = [c for c in docs.columns if c != "base_failed"]
     whole = F.coalesce(F.col(text), F.lit(""))
     split = docs.select(
         *names,
+        F.xxhash64(whole).alias("_text_hash"),
         words_column(F.col(text)).alias("_words"),
         F.filter(F.split(whole, "\n"), lambda x: F.btrim(x, F.lit(WHITE)) != "").alias("_lines"),
     )
@@ -120,13 +125,15 @@ def with_verdict(
     """``docs``, as ``with_statistics`` gives them, plus ``distance`` and ``kept``.
 
     Documents that failed the base rules are not kept, have no distance, and take no part
-    in the estimates. A null language or source is a value of its own. Small groups lean on
-    the fixed spreads. ``docs`` is written once, since a filter on its counts would otherwise
-    be pushed into their computation, and read several times.
+    in the estimates, where equal texts of a group count once. A null language or source is a
+    value of its own. Small groups lean on the fixed spreads. ``docs`` is written once, since a
+    filter on its counts would otherwise be pushed into their computation, and read several
+    times; so are the vectors of its distinct texts.
     """
     docs = stage(docs.drop("distance", "kept"), "counted")
     group = F.struct(F.col(lang).alias("lang"), F.col(source).alias("source")).alias("_group")
-    rows = docs.where(~F.col("base_failed")).select(group, *_vector())
+    passed = docs.where(~F.col("base_failed")).select(group, "_text_hash", *_vector())
+    rows = stage(passed.distinct().drop("_text_hash"), "vectors")
     start = rows.groupBy("_group").agg(
         F.lit(0.0).alias("n"),
         *(F.percentile(x, F.lit(0.5)).alias(f"m{i}") for i, x in enumerate(_X)),
@@ -141,7 +148,7 @@ def with_verdict(
     measured = docs.select("*", group, *_vector()).join(estimate, "_group", "left")
     distance = F.when(~F.col("base_failed"), _distance() / CORRECTION)
     return measured.withColumn("distance", distance).select(
-        *docs.columns,
+        *(c for c in docs.columns if c != "_text_hash"),
         "distance",
         (~F.col("base_failed") & (F.col("distance") <= most_distance)).alias("kept"),
     )

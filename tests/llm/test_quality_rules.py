@@ -77,6 +77,22 @@ def test_repeated_rows_of_one_group_are_kept(spark):
     assert all(r.kept and r.distance == pytest.approx(0) for r in found) and len(found) == 30
 
 
+def test_copies_of_one_text_reject_no_other(spark):
+    rng = random.Random(6)
+    word = lambda k: "".join(rng.choices("abcdefghij", k=k))
+    # Other texts differ from the copies in the length of their words and in their symbols.
+    clean = [
+        " ".join(word(rng.randrange(3, 9 + i % 4)) for _ in range(100)) + " &" * (i % 5)
+        for i in range(300)
+    ]
+    copies = [" ".join(word(5) for _ in range(80))] * 10_000
+    rows = [(i, t, "en", "a") for i, t in enumerate(clean + copies)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = quality_rules.with_verdict(quality_rules.with_statistics(docs.repartition(4)))
+    assert "_text_hash" not in found.columns
+    assert found.where("kept").count() == 10_300
+
+
 def test_odd_rows(odd):
     counted = quality_rules.with_statistics(odd)
     found = quality_rules.with_verdict(counted).collect()

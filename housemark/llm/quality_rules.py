@@ -34,6 +34,8 @@ MOST_DISTANCE = 60.0
 #: Spreads taken for granted, in thousandths, and the number of rows that they weigh.
 SPREADS = (40.0, 40.0, 120.0, 160.0)
 SPREAD_ROWS = 20.0
+#: Part of the squared spreads that no variance falls below, however many rows a group has.
+LEAST_PART = 0.15
 #: 0.75 / P(chi-square with 6 degrees <= 75 % quantile of chi-square with 4 degrees).
 CORRECTION = 1.49
 
@@ -126,7 +128,8 @@ def with_verdict(
 
     Documents that failed the base rules are not kept, have no distance, and take no part
     in the estimates, where equal texts of a group count once. A null language or source is a
-    value of its own. Small groups lean on the fixed spreads. ``docs`` is written once, since a
+    value of its own. Small groups lean on the fixed spreads, and no group's variance falls
+    below ``LEAST_PART`` of them. ``docs`` is written once, since a
     filter on its counts would otherwise be pushed into their computation, and read several
     times; so are the vectors of its distinct texts.
     """
@@ -198,12 +201,18 @@ def _moments(binned: DataFrame) -> DataFrame:
 
 
 def _factors(moments: DataFrame) -> DataFrame:
-    """Means and the Cholesky factor of each group's covariance."""
+    """Means and the Cholesky factor of each group's covariance.
+
+    Variances have a floor that does not shrink with the number of rows; to raise them keeps
+    the matrix positive definite.
+    """
     weight = F.col("n") + SPREAD_ROWS
     covariance = {
         (i, j): (F.col(f"s{i}{j}") + (SPREAD_ROWS * SPREADS[i] ** 2 if i == j else 0.0)) / weight
         for i, j in _PAIRS
     }
+    for i in range(_N):
+        covariance[i, i] = F.greatest(covariance[i, i], F.lit(LEAST_PART * SPREADS[i] ** 2))
     found = moments
     for i, j in sorted(_PAIRS, key=lambda x: (x[1], x[0])):
         rest = covariance[i, j]

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from housemark.llm import quality_rules
 
@@ -93,6 +94,24 @@ def test_copies_of_one_text_reject_no_other(spark):
     assert found.where("kept").count() == 10_300
 
 
+def test_verdicts_do_not_change_with_the_number_of_rows(spark):
+    rng = random.Random(3)
+    # Symbols, lines and windows are 0 in most rows; three rows are far out.
+    rows = [
+        (i, 100, rng.randrange(480, 560), 40 * (i < 3) + i % 3 * (i % 8 == 0), i % 9 == 0, 6 * (i % 9 == 0))
+        for i in range(60)
+    ]
+    names = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words".split()
+    one = spark.createDataFrame([tuple(map(int, r)) for r in rows], names).withColumns(
+        {"lang": F.lit("en"), "source": F.lit("a"), "base_failed": F.lit(False)}
+    )
+    for times in (1, 100, 10_000):
+        each = one.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(times))))
+        docs = each.withColumn("_text_hash", F.xxhash64("doc_id", "_copy")).drop("_copy")
+        found = quality_rules.with_verdict(docs).where("NOT kept").groupBy("doc_id").count()
+        assert {r.doc_id: r["count"] for r in found.collect()} == dict.fromkeys(range(3), times)
+
+
 def test_odd_rows(odd):
     counted = quality_rules.with_statistics(odd)
     found = quality_rules.with_verdict(counted).collect()

@@ -16,8 +16,8 @@ from housemark.sources.scratch import stage
 
 
 # Stages keep a row as the struct ``_doc`` beside what their operator adds, so that no added
-# column can clash with one of the documents. ``_row`` numbers the rows of a scan, which reads
-# the same files alike each time.
+# column can clash with one of the documents. ``_row`` numbers the rows of one scan and is written
+# beside them: a second scan may cut the files otherwise and number them differently.
 _DOC = "_doc"
 
 
@@ -25,8 +25,9 @@ def _beside(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(F.struct(*docs.columns).alias(_DOC), *names)
 
 
-def _numbered(docs: DataFrame, *names: str) -> DataFrame:
-    return _beside(docs, *names).withColumn("_row", F.monotonically_increasing_id())
+def _numbered(docs: DataFrame) -> DataFrame:
+    rows = _beside(docs).withColumn("_row", F.monotonically_increasing_id())
+    return stage(rows, "numbered")
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +42,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Of rows with equal ids the first one stays; null ids come last.
     """
-    rows = _numbered(docs, "doc_id", "text")
-    marked = simhash.with_fingerprints(rows.drop(_DOC)).drop("text")
+    rows = _numbered(docs)
+    texts = rows.select(f"{_DOC}.doc_id", f"{_DOC}.text", "_row")
+    marked = simhash.with_fingerprints(texts).drop("text")
     classes = simhash.near_duplicates(stage(marked, "marked"))
     # Folded before the shuffle: a component may hold a third of all documents.
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
@@ -65,11 +67,12 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as the mix takes, none included."""
-    rows = _numbered(docs, "doc_id", "source", "text")
-    sized = stage(mixing.measured(rows.drop(_DOC)).drop("text"), "sized")
+    rows = _numbered(docs)
+    texts = rows.select(f"{_DOC}.doc_id", f"{_DOC}.source", f"{_DOC}.text", "_row")
+    sized = stage(mixing.measured(texts).drop("text"), "sized")
     taken = mixing.with_copies(sized).where("copies > 0").select("_row", "copies")
     copies = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    return rows.select(_DOC, "_row").join(taken, "_row").withColumn("_copy", copies).select(f"{_DOC}.*")
+    return rows.join(taken, "_row").withColumn("_copy", copies).select(f"{_DOC}.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

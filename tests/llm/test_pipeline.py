@@ -71,6 +71,21 @@ def test_near_duplicates_of_null_and_repeated_ids(spark, odd):
     assert sorted(str(r.doc_id) for r in left) == ["1", "3", "6", "7", "8", "None"]
 
 
+@pytest.mark.parametrize("function", [pipeline.drop_near_duplicates, pipeline.mix_sources])
+def test_files_cut_otherwise_by_a_later_scan(spark, function):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").repartition(3)
+    docs = stage(docs.where("doc_id IS NOT NULL"))
+    wanted = Counter(r.doc_id for r in function(spark, docs, FOLDER).collect())
+    left = function(spark, docs, FOLDER)
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "8k")
+    try:
+        assert Counter(r.doc_id for r in left.collect()) == wanted
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_empty_documents(spark, none):
     docs = none
     for _, function in pipeline.STAGES:

@@ -15,6 +15,7 @@ from housemark.llm import (
     quality_classifier,
     quality_rules,
     secrets,
+    sentencepieces,
     simhash,
     token_counts,
 )
@@ -103,6 +104,17 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_sentencepieces(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    ids = sentencepieces.with_ids(docs).drop("text")
+    return sentencepieces.with_decoded(ids).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash": op1_simhash,
@@ -115,6 +127,7 @@ def queries() -> dict[str, Query]:
         "op8_embeddings": op8_embeddings,
         "op9_lm_scoring": op9_lm_scoring,
         "op10_mixing": op10_mixing,
+        "op12_sentencepieces": op12_sentencepieces,
     }
 
 

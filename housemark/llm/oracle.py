@@ -144,3 +144,52 @@ SELECT r.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ba
        NOT base_failed AND coalesce(({distance}) / {quality_rules.CORRECTION}
                                     <= {quality_rules.MOST_DISTANCE}, false) AS kept
 FROM judged r LEFT JOIN estimate{quality_rules.STEPS} e ON {join}"""
+
+
+def filter_audit_sql() -> str:
+    """Each document is judged alone, then held against every order by plain joins."""
+    return rf"""
+WITH docs AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {_WORDS} AS words
+    FROM documents
+), marked AS (
+    SELECT doc_id, part,
+        (len(words) < 200)::INT
+        + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT
+        + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t))::INT
+        + 8 * regexp_matches(t, '[#$%&*|]')::INT
+        + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS mask
+    FROM docs
+), of_id AS (
+    SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1
+), cells AS (
+    SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+    FROM marked LEFT JOIN of_id USING (doc_id) GROUP BY ALL
+), letters AS (
+    SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS b
+), orders AS (
+    SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+    FROM letters a, letters b, letters c, letters d, letters e
+    WHERE a.b + b.b + c.b + d.b + e.b = 31 AND len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+    SELECT o.filter_order, s.step, l.x, l.b, coalesce(sum(e.b), 0)::INT AS earlier
+    FROM orders o CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS step) s
+    JOIN letters l ON l.x = substr(o.filter_order, s.step, 1)
+    LEFT JOIN letters e ON strpos(o.filter_order, e.x) < s.step
+    GROUP BY ALL
+), counted AS (
+    SELECT part, filter_order, step, x,
+        sum(CASE WHEN mask & (b | earlier) = 0 THEN n ELSE 0 END) AS kept,
+        sum(CASE WHEN mask & b <> 0 AND mask & earlier = 0 THEN n ELSE 0 END) AS removed,
+        sum(CASE WHEN mask & b <> 0 AND mask & earlier <> 0 THEN n ELSE 0 END) AS redundant,
+        sum(CASE WHEN mask = b THEN n ELSE 0 END) AS unique_fails,
+        sum(CASE WHEN mask & b <> 0 AND mask & earlier = 0 THEN good ELSE 0 END) AS good_lost,
+        sum(CASE WHEN mask & b <> 0 AND mask & earlier = 0 THEN toxic ELSE 0 END) AS toxic_lost
+    FROM cells CROSS JOIN steps GROUP BY ALL
+)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed,
+    redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+    good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+    (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley
+FROM counted
+"""

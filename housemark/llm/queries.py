@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from housemark.llm import (
     embeddings,
+    filter_audit,
     html_extraction,
     lm_scoring,
     mixing,
@@ -104,6 +105,11 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    return filter_audit.audit(stage(filter_audit.cells(docs, labels), "cells"))
+
+
 def op12_sentencepieces(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     ids = sentencepieces.with_ids(docs).drop("text")
@@ -127,6 +133,7 @@ def queries() -> dict[str, Query]:
         "op8_embeddings": op8_embeddings,
         "op9_lm_scoring": op9_lm_scoring,
         "op10_mixing": op10_mixing,
+        "op11_filter_audit": op11_filter_audit,
         "op12_sentencepieces": op12_sentencepieces,
     }
 
@@ -136,4 +143,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_quality_rules": oracle.quality_rules_sql(),
         "op10_mixing": oracle.mixing_sql(),
+        "op11_filter_audit": oracle.filter_audit_sql(),
     }

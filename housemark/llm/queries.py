@@ -112,8 +112,7 @@ def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
 
 def op12_sentencepieces(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    ids = sentencepieces.with_ids(docs).drop("text")
-    return sentencepieces.with_decoded(ids).select(
+    return sentencepieces.with_ids(docs, decoded="decoded").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

@@ -24,7 +24,7 @@ from itertools import chain
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import sentencepiece
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2
@@ -38,8 +38,10 @@ UNDECODABLE = "�"
 _CODES = 0x110000
 _NONE = np.iinfo(np.int64).max
 _GONE = -1
-_CHARS = 1 << 22
-_BYTES = 1 << 24
+_CHARS = 1 << 20
+_IDS = 1 << 18
+#: Ids of words that a task remembers.
+_REMEMBERED = 1 << 21
 # Spaces belong to the word that follows them.
 _WORD = re.compile(" *[^ ]+| +")
 # Slices of a long text that end before a space.
@@ -238,26 +240,22 @@ class Vocabulary:
 
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
         """Texts of the ids that end at ``ends``, each without the space put before it."""
-        texts: list[str] = []
         data, starts, sizes = self._surface_bytes
-        lengths = np.cumsum(sizes[ids])
-        at = base = 0
-        while at < len(ends):
-            # As many texts as fit, one at least.
-            offsets = np.concatenate([[0], lengths])[ends[at:]] - (lengths[base - 1] if base else 0)
-            upto = at + max(1, int(np.searchsorted(offsets, _BYTES, "right")))
-            part = ids[base : ends[upto - 1]]
+        flat = bytearray()
+        for at in range(0, len(ids), _IDS):
+            part = ids[at : at + _IDS]
             count = sizes[part]
-            places = np.arange(count.sum()) + np.repeat(starts[part] - (np.cumsum(count) - count), count)
-            flat = data[places].tobytes()
-            first, low = base, 0
-            for end, high in zip(ends[at:upto].tolist(), offsets[: upto - at].tolist()):
-                texts.append(self._text(ids[first:end], flat[low:high]))
-                first, low = end, high
-            at, base = upto, int(ends[upto - 1])
+            shift = starts[part] - (np.cumsum(count) - count)
+            flat += data[np.arange(count.sum()) + np.repeat(shift, count)].tobytes()
+        offsets = np.concatenate([[0], np.cumsum(sizes[ids])])[ends].tolist()
+        texts: list[str] = []
+        first = low = 0
+        for end, high in zip(ends.tolist(), offsets):
+            texts.append(self._text(ids[first:end], flat[low:high]))
+            first, low = end, high
         return texts
 
-    def _text(self, ids: np.ndarray, flat: bytes) -> str:
+    def _text(self, ids: np.ndarray, flat: bytearray) -> str:
         shown = np.flatnonzero(~self.is_control[ids[:64]]) if len(ids) else ids
         if len(ids) > 64 and not len(shown):
             shown = np.flatnonzero(~self.is_control[ids])
@@ -362,68 +360,98 @@ def read_vocabulary(path: str) -> Vocabulary:
 
 
 class _Numbers(dict):
-    """Words numbered as they come."""
+    """Words numbered as they come; ``new`` are those since it was last emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
 
     def __missing__(self, word: str) -> int:
         self[word] = number = len(self)
+        self.new.append(word)
         return number
 
 
-def encode(vocabulary: Vocabulary, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts behind each other, and where each text starts in them (and the end)."""
-    numbers = _Numbers()
-    found: list[np.ndarray] = []
-    counts = np.zeros(len(texts), np.int64)
-    for i, text in enumerate(texts):
-        for part in _SLICE.findall(" " + text.replace(SPACE, " ")) if text else ():
-            words = _WORD.findall(part)
-            found.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
-            counts[i] += len(words)
-    ids, starts = vocabulary.encode_words(list(numbers))
-    word = np.concatenate([*found, np.zeros(0, np.int32)])
-    sizes = np.diff(starts)[word]
-    ends = np.concatenate([[0], np.cumsum(sizes)])
-    places = np.arange(ends[-1]) + np.repeat(starts[word] - ends[:-1], sizes)
-    return ids[places].astype(np.int32), ends[np.concatenate([[0], np.cumsum(counts)])]
-
-
-def with_ids(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
+class Encoder:
+    """Encodes texts and remembers the ids of words, up to ``_REMEMBERED`` ids."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self._vocabulary = vocabulary
+        self._forget()
+
+    def _forget(self) -> None:
+        self._numbers = _Numbers()
+        self._ids = np.zeros(0, np.int64)
+        self._starts = np.zeros(1, np.int64)
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts behind each other, and where each text starts in them (and the end)."""
+        found = [np.zeros(0, np.int32)]
+        counts = np.zeros(len(texts), np.int64)
+        for i, text in enumerate(texts):
+            for part in _SLICE.findall(" " + text.replace(SPACE, " ")) if text else ():
+                words = _WORD.findall(part)
+                found.append(np.fromiter(map(self._numbers.__getitem__, words), np.int32, len(words)))
+                counts[i] += len(words)
+        if self._numbers.new:
+            ids, starts = self._vocabulary.encode_words(self._numbers.new)
+            self._starts = np.concatenate([self._starts, starts[1:] + len(self._ids)])
+            self._ids = np.concatenate([self._ids, ids])
+            self._numbers.new = []
+        word = np.concatenate(found)
+        sizes = np.diff(self._starts)[word]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        places = np.arange(ends[-1]) + np.repeat(self._starts[word] - ends[:-1], sizes)
+        ids = self._ids[places].astype(np.int32)
+        if len(self._ids) > _REMEMBERED:
+            self._forget()
+        return ids, ends[np.concatenate([[0], np.cumsum(counts)])]
+
+
+def with_ids(
+    docs: DataFrame, text: str = "text", path: str | None = None, decoded: str | None = None
+) -> DataFrame:
     """``docs`` plus ``ids``, an array of the pieces of the whole text.
 
-    Without ids of begin and end; none for a null or an empty text. A column of this name is
-    replaced, other columns, repeated rows and their order stay, an empty table gives an empty
-    one. Texts of any length and shape end: a task holds about four million characters, or one
-    text; its time grows with the characters, and for runs without any place to cut them also
-    with the number of different pieces in the run.
+    With ``decoded``, a column of this name gets the text that the ids decode to, in the same
+    pass. There are no ids of begin and end; none at all for a null or an empty text, which
+    decode to the empty text. Columns of these names are replaced, other columns and repeated
+    rows stay, an empty table gives an empty one. Texts of any length and shape end: a task
+    holds about a million characters, or one text; its time grows with the characters, and for
+    runs without any place to cut them also with the number of different pieces in the run.
     """
-    docs = docs.drop("ids")
-    names = docs.columns
+    added = [T.StructField("ids", T.ArrayType(T.IntegerType()))]
+    if decoded:
+        added.append(T.StructField(decoded, T.StringType()))
+    docs = docs.drop(*(x.name for x in added))
+    column = docs.columns.index(text)
+    schema = T.StructType([*docs.schema.fields, *added])
+    names = schema.names
     vocabulary = read_vocabulary(path or public_tokenizers.path(MODEL))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(vocabulary)
         for batch in batches:
-            for part, texts in _parts(batch, names.index(text)):
-                ids, ends = encode(vocabulary, texts)
-                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], [*names, "ids"])
-
-    added = T.StructField("ids", T.ArrayType(T.IntegerType()))
-    return docs.mapInArrow(add, T.StructType([*docs.schema.fields, added]))
-
-
-def _parts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    """The batch in parts of about ``_CHARS`` characters, with the texts of each."""
-    low = held = 0
-    sizes = [len(x) if x else 0 for x in batch.column(column).to_pylist()]
-    for at, size in enumerate(sizes):
-        if held and held + size > _CHARS:
-            part = batch.slice(low, at - low)
-            yield part, part.column(column).to_pylist()
-            low, held = at, 0
-        held += size
-    if low < batch.num_rows:
-        part = batch.slice(low)
-        yield part, part.column(column).to_pylist()
+            for part in _parts(batch, column):
+                ids, ends = encoder.encode(part.column(column).to_pylist())
+                made = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))]
+                if decoded:
+                    made.append(pa.array(vocabulary.decode(ids, ends[1:]), pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names)
+
+    return docs.mapInArrow(add, schema)
+
+
+def _parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about ``_CHARS`` characters, one row at least."""
+    sizes = pc.fill_null(pc.utf8_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    low = 0
+    while low < batch.num_rows:
+        before = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, before + _CHARS, "right")))
+        yield batch.slice(low, high - low)
+        low = high
 
 
 def with_decoded(
@@ -434,15 +462,17 @@ def with_decoded(
     A column named ``output`` is replaced. Ids have to be those of the vocabulary.
     """
     frame = frame.drop(output)
-    names = frame.columns
+    column = frame.columns.index(ids)
+    schema = T.StructType([*frame.schema.fields, T.StructField(output, T.StringType())])
+    names = schema.names
     vocabulary = read_vocabulary(path or public_tokenizers.path(MODEL))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(names.index(ids))
+            lists = batch.column(column)
             counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            texts = vocabulary.decode(values, np.cumsum(counts))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, output])
+            values = lists.flatten().to_numpy(zero_copy_only=False)
+            texts = pa.array(vocabulary.decode(values, np.cumsum(counts)), pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names)
 
-    return frame.mapInArrow(add, T.StructType([*frame.schema.fields, T.StructField(output, T.StringType())]))
+    return frame.mapInArrow(add, schema)

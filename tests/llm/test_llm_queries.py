@@ -29,7 +29,9 @@ def test_columns_and_rows(spark, name):
     found = entry.queries()[name](spark, FOLDER)
     assert set(COLUMNS[name.split("_")[0]].split()) <= set(found.columns)
     source = spark.read.parquet(f"{FOLDER}/{TABLES.get(name, 'documents')}.parquet")
-    if name == "op2_packing":
+    if name == "op11_filter_audit":
+        assert found.count() == 600 * source.select("source").distinct().count()
+    elif name == "op2_packing":
         assert found.select("doc_id").distinct().count() == source.count()
     else:
         assert found.count() == source.count()

@@ -26,8 +26,8 @@ def vocabulary():
 
 
 def assert_equal(vocabulary, library, texts):
-    ids, ends = sentencepieces.encode(vocabulary, texts)
-    decoded = vocabulary.decode(ids.astype(np.int64), ends[1:])
+    ids, ends = sentencepieces.Encoder(vocabulary).encode(texts)
+    decoded = vocabulary.decode(ids, ends[1:])
     for i, text in enumerate(texts):
         wanted = library.encode(text or "")
         assert ids[ends[i] : ends[i + 1]].tolist() == wanted, repr(text)[:80]
@@ -84,9 +84,17 @@ def test_ids_that_no_text_gives(vocabulary, library):
     assert found == [library.decode(x) for x in some]
 
 
-def test_texts_in_many_parts(vocabulary, library, monkeypatch):
-    monkeypatch.setattr(sentencepieces, "_BYTES", 50)
-    assert_equal(vocabulary, library, ["one two", "", "x" * 200, "three  four", None, "five" * 20])
+def test_words_remembered_and_forgotten(vocabulary, library, monkeypatch):
+    monkeypatch.setattr(sentencepieces, "_REMEMBERED", 60)
+    monkeypatch.setattr(sentencepieces, "_IDS", 7)
+    encoder = sentencepieces.Encoder(vocabulary)
+    rng = random.Random(6)
+    for _ in range(60):
+        texts = [" ".join(rng.choices(["one", "two", "three", "ﬁve", " "], k=9)) for _ in range(3)]
+        ids, ends = encoder.encode(texts)
+        wanted = [library.encode(x) for x in texts]
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == wanted
+        assert vocabulary.decode(ids, ends[1:]) == library.decode(wanted)
 
 
 def test_other_models_are_refused(tmp_path):
@@ -106,6 +114,8 @@ def test_odd_rows(odd, library):
     for row in rows:
         assert row.ids == library.encode(row.text or "")
         assert row.decoded == (row.text or "")
+    at_once = sentencepieces.with_ids(own, decoded="decoded")
+    assert at_once.columns == found.columns and sorted(at_once.collect(), key=str) == sorted(rows, key=str)
 
 
 def test_null_ids_and_no_rows(spark, none):

@@ -193,3 +193,63 @@ SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIG
     (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley
 FROM counted
 """
+
+
+def merkle_sql() -> str:
+    """Trees level by level and every leaf's way up, in recursive queries."""
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+
+    def leaf(changed: str = "n_chars") -> str:
+        texts = [f"({changed if x == 'n_chars' else x})::VARCHAR" for x in fields]
+        parts = [f"coalesce(strlen({t})::VARCHAR || ':' || {t}, '-')" for t in texts]
+        return f"sha256({' || '.join(parts)})"
+
+    bits = """CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"""
+    byte = f"list_reduce([xor(c, b)] || range(8), lambda x, k: {bits})"
+    digits = "list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)"
+    crc = f"xor(list_reduce([4294967295] || {digits}, lambda c, b: {byte}), 4294967295)"
+    return f"""
+WITH RECURSIVE leaves AS (
+    SELECT row_number() OVER () AS r, doc_id, lang, {leaf()} AS leaf,
+        CASE WHEN {crc} % 7 = 0 THEN {leaf("n_chars::HUGEINT + 1")} ELSE {leaf()} END AS forged
+    FROM documents
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+        count(*) OVER (PARTITION BY lang) AS n, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS p
+    FROM leaves
+), tree(p, level, i, n, digest) AS (
+    SELECT p, 0, i, n, leaf FROM placed
+    UNION ALL
+    SELECT p, level + 1, i // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY i))
+    FROM tree WHERE n > 1 GROUP BY p, level, i // 2, n
+), tops(level, i, n, digest) AS (
+    SELECT 0, p, (SELECT count(*) FROM tree WHERE n = 1), digest FROM tree WHERE n = 1
+    UNION ALL
+    SELECT level + 1, i // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY i))
+    FROM tops WHERE n > 1 GROUP BY level, i // 2, n
+), way(r, p, level, i, n, digest, proof) AS (
+    SELECT r, p, 0, i, n, forged, '' FROM placed
+    UNION ALL
+    SELECT w.r, w.p, w.level + 1, w.i // 2, (w.n + 1) // 2,
+        CASE WHEN w.i % 2 = 1 THEN sha256(t.digest || w.digest)
+             ELSE sha256(w.digest || coalesce(t.digest, '')) END,
+        w.proof || coalesce(t.digest, '')
+    FROM way w LEFT JOIN tree t ON t.p = w.p AND t.level = w.level AND t.i = xor(w.i, 1)
+    WHERE w.n > 1
+), over_parts(r, p, level, i, n, digest, proof) AS (
+    SELECT r, p, 0, p, (SELECT max(n) FROM tops), digest, proof FROM way WHERE n = 1
+    UNION ALL
+    SELECT w.r, w.p, w.level + 1, w.i // 2, (w.n + 1) // 2,
+        CASE WHEN w.i % 2 = 1 THEN sha256(t.digest || w.digest)
+             ELSE sha256(w.digest || coalesce(t.digest, '')) END,
+        w.proof || coalesce(t.digest, '')
+    FROM over_parts w LEFT JOIN tops t ON t.level = w.level AND t.i = xor(w.i, 1)
+    WHERE w.n > 1
+)
+SELECT doc_id, leaf, s.digest AS subroot, o.digest AS root, sha256(w.proof) AS proof_sha256,
+    w.digest AS folded_root, w.digest = o.digest AS verified
+FROM placed JOIN over_parts w USING (r)
+JOIN tree s ON s.p = placed.p AND s.n = 1
+JOIN tops o ON o.n = 1
+WHERE w.n = 1
+"""

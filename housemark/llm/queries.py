@@ -10,6 +10,7 @@ from housemark.llm import (
     filter_audit,
     html_extraction,
     lm_scoring,
+    merkle,
     mixing,
     oracle,
     packing,
@@ -120,6 +121,25 @@ def op12_sentencepieces(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    one_more = (F.col("n_chars").cast("decimal(20,0)") + 1).cast("string")
+    return merkle.manifest(
+        docs,
+        ["doc_id", "source", "lang", "n_chars", "text"],
+        tampered=F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0,
+        changes={"n_chars": one_more},
+    ).select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(F.lower(F.hex("proof")), 256).alias("proof_sha256"),
+        "folded_root",
+        "verified",
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash": op1_simhash,
@@ -134,6 +154,7 @@ def queries() -> dict[str, Query]:
         "op10_mixing": op10_mixing,
         "op11_filter_audit": op11_filter_audit,
         "op12_sentencepieces": op12_sentencepieces,
+        "op13_merkle": op13_merkle,
     }
 
 
@@ -143,4 +164,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_quality_rules": oracle.quality_rules_sql(),
         "op10_mixing": oracle.mixing_sql(),
         "op11_filter_audit": oracle.filter_audit_sql(),
+        "op13_merkle": oracle.merkle_sql(),
     }

@@ -21,6 +21,7 @@ COLUMNS = {
     "op10": "doc_id size source_size target taken",
     "op11": "part filter_order step kept removed redundant unique_fails good_lost toxic_lost shapley",
     "op12": "doc_id n_tokens ids_sha256 decoded_sha256",
+    "op13": "doc_id leaf subroot root proof_sha256 folded_root verified",
 }
 
 
@@ -51,4 +52,4 @@ def test_native_operators_run_no_python(spark, name):
 
 def test_every_operator_has_one_query():
     numbers = sorted(int(name[2:].split("_")[0]) for name in queries.queries())
-    assert numbers == list(range(1, 13))
+    assert numbers == list(range(1, 14))

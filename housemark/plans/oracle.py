@@ -88,7 +88,51 @@ _RAW_COLUMNS = """transaction_unique_identifier, price, date_of_transfer, postco
   old_new, duration, paon, saon, street, locality, town_city, district, county,
   ppd_category_type, record_status"""
 
+_TEXTS = f"""{_RAW},
+texts AS (
+  SELECT raw.* REPLACE (
+           CASE WHEN k % 89 = 0 THEN 'n/a' WHEN k % 67 = 0 THEN NULL ELSE CAST(price AS VARCHAR) END
+             AS price,
+           CASE WHEN k % 83 = 0 THEN '2025-02-30 00:00' WHEN k % 97 = 5 THEN 'bad'
+                ELSE strftime(date_of_transfer, '%Y-%m-%d %H:%M') END AS date_of_transfer,
+           CASE WHEN k % 101 <> 0 THEN postcode END AS postcode,
+           CASE WHEN k % 101 <> 0 THEN property_type END AS property_type,
+           CASE WHEN k % 101 <> 0 THEN old_new END AS old_new,
+           CASE WHEN k % 101 <> 0 THEN town_city END AS town_city,
+           CASE WHEN k % 101 <> 0 THEN district END AS district,
+           CASE WHEN k % 101 <> 0 THEN county END AS county),
+         k % 101 = 0 AS is_short
+  FROM raw, LATERAL (SELECT CAST(transaction_unique_identifier AS BIGINT) AS k)
+),
+tested AS (
+  SELECT *, try_cast(price AS DOUBLE) AS price_value,
+         try_cast(date_of_transfer AS TIMESTAMP) AS date_value,
+         price IS NOT NULL AND try_cast(price AS DOUBLE) IS NULL AS bad_price,
+         try_cast(date_of_transfer AS TIMESTAMP) IS NULL AS bad_date
+  FROM texts
+)"""
+
 _PRICE_QUERIES = {
+    "ingest_rejects": f"""WITH {_TEXTS}
+SELECT 'price' AS column_name, count(*) AS row_count, count(price_value) AS value_count,
+       count(*) FILTER (bad_price) AS reject_count FROM tested
+UNION ALL
+SELECT 'date_of_transfer', count(*), count(date_value), count(*) FILTER (bad_date) FROM tested
+UNION ALL
+SELECT 'number_of_fields', count(*), count(*) FILTER (NOT is_short), count(*) FILTER (is_short)
+FROM tested""",
+    "ingest_quarantine": f"""WITH {_TEXTS}
+SELECT transaction_unique_identifier,
+       concat_ws(',', CASE WHEN bad_price THEN 'price' END,
+                 CASE WHEN bad_date THEN 'date_of_transfer' END,
+                 CASE WHEN is_short THEN 'number_of_fields' END) AS failed_columns,
+       price AS price_text, date_of_transfer AS date_text, county AS county_text
+FROM tested WHERE bad_price OR bad_date OR is_short""",
+    "ingest_accepted": f"""WITH {_TEXTS}
+SELECT price_value AS price, CAST(date_value AS DATE) AS date_of_transfer, postcode,
+       regexp_extract(postcode, '^([A-Z]{{1,2}})', 1) AS postcode_area,
+       {_KIND} AS property_type, {_AGE} AS old_new, town_city, district, county
+FROM tested""",
     "csv_ingest": f"WITH {_RAW} SELECT {_RAW_COLUMNS} FROM raw",
     "csv_usecols": f"""WITH {_RAW}
 SELECT price, date_of_transfer, postcode, property_type, old_new, town_city, district, county

@@ -5,9 +5,9 @@ from contextlib import AbstractContextManager, ExitStack, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 
-from housemark.operators import star_schema, summaries
-from housemark.schemas import DATES, PRICES, RAW_COLUMNS_USED
-from housemark.sources.price_files import read_price_paid
+from housemark.operators import rejects, star_schema, summaries
+from housemark.schemas import DATES, PRICE_PAID_RAW, PRICES, RAW_COLUMNS_USED
+from housemark.sources.price_files import CSV, read_price_paid, read_with_rejects
 from housemark.sources.scratch import stage, staged
 from housemark.sources.tables import TableStore
 
@@ -80,6 +80,27 @@ def files_to_summary(
     return summarise_star_schema(store, approximate, step, force)
 
 
+def ingest_with_rejects(
+    spark: SparkSession, paths: str | Sequence[str], store: TableStore
+) -> DataFrame:
+    """Cleaned rows of the files; what could not be read is written to the store.
+
+    ``rejected_lines`` has the lines with the columns that failed, ``reject_counts`` the number
+    of values read and rejected by column. The files are parsed once and staged; a rejected
+    value is NULL in the cleaned rows.
+    """
+    parsed = read_with_rejects(spark, paths)
+    failures = stage(
+        rejects.with_failures(parsed, PRICE_PAID_RAW, CSV).select(
+            *RAW_COLUMNS_USED, rejects.LINE, "failed_columns", "texts"
+        ),
+        "ingested",
+    )
+    store.overwrite(rejects.rejected_lines(failures), "rejected_lines")
+    store.overwrite(rejects.reject_counts(failures, PRICE_PAID_RAW), "reject_counts", files=1)
+    return star_schema.clean_price_paid(failures)
+
+
 def files_to_recent_summary(
     spark: SparkSession,
     paths: str | Sequence[str],

@@ -230,6 +230,37 @@ def recent_summary(spark, folder):
     return summaries.recent_summary(monthly_summary_ym(spark, folder), RECENT_AFTER)
 
 
+def _ingested(spark: SparkSession, folder: str) -> tuple[TableStore, DataFrame]:
+    """A store with what an ingest of partly unreadable lines rejected, and the cleaned rows."""
+    path, store = new_path(spark, "raw"), _store(spark)
+    texts = testdata.price_paid_texts(spark, folder)
+    price_files.write_lines(texts, path, testdata.fields_of_line())
+    return store, price_jobs.ingest_with_rejects(spark, path, store)
+
+
+@_query
+def ingest_rejects(spark, folder):
+    return _ingested(spark, folder)[0].read("reject_counts")
+
+
+@_query
+def ingest_quarantine(spark, folder):
+    lines = _ingested(spark, folder)[0].read("rejected_lines")
+    return lines.select(
+        "texts.transaction_unique_identifier",
+        F.array_join("failed_columns", ",").alias("failed_columns"),
+        F.col("texts.price").alias("price_text"),
+        F.col("texts.date_of_transfer").alias("date_text"),
+        F.col("texts.county").alias("county_text"),
+    )
+
+
+@_query
+def ingest_accepted(spark, folder):
+    """Cleaned rows of the same ingest: rejected values are NULL, all rows stay."""
+    return _ingested(spark, folder)[1]
+
+
 @_query
 def files_to_summary(spark, folder):
     return price_jobs.files_to_summary(spark, _raw_zone(spark, folder), _store(spark))

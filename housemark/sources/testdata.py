@@ -1,6 +1,6 @@
 """Views that give the test tables the shape of price-paid rows and run records."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from housemark.operators.ordered import Running, running
@@ -98,6 +98,25 @@ def price_paid_raw(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(*[made[name].alias(name) for name in PRICE_PAID_RAW.fieldNames()])
 
 
+def price_paid_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of ``price_paid_raw`` as texts, some of which are no prices or dates."""
+    raw = price_paid_raw(spark, folder)
+    key = F.col("transaction_unique_identifier").cast("bigint")
+    odd = {
+        "price": F.when(key % 89 == 0, "n/a").when(key % 67 == 0, "").otherwise(F.col("price").cast("string")),
+        "date_of_transfer": F.when(key % 83 == 0, "2025-02-30 00:00")
+        .when(key % 97 == 5, "bad")
+        .otherwise(F.date_format("date_of_transfer", "yyyy-MM-dd HH:mm")),
+    }
+    return raw.withColumns(odd)
+
+
+def fields_of_line() -> Column:
+    """How many fields of a row of ``price_paid_texts`` its line has; NULL for all."""
+    key = F.col("transaction_unique_identifier").cast("bigint")
+    return F.when(key % 101 == 0, 3)
+
+
 def event_settings(spark: SparkSession, folder: str) -> DataFrame:
     """Events with the settings that their user ran with."""
     slots = literal_rows(spark, _SETTINGS, _SETTINGS_SCHEMA)

@@ -352,7 +352,39 @@ _PROFILE = "\nUNION ALL\n".join(
     + [_text_profile("stage_time", "CAST(stage_time AS VARCHAR)")]
 )
 
+_ODD_LOG = f"""{_LOG}, {_STAGES}, {_CONFIGURATIONS},
+odd AS (
+  SELECT * REPLACE (CASE WHEN CAST(cpu_usage AS INTEGER) % 10 = 7 THEN 'teardown'
+                         WHEN CAST(cpu_usage AS INTEGER) % 10 <> 3 THEN stage_name END AS stage_name)
+  FROM log
+),
+known AS (
+  SELECT odd.*, EXISTS (FROM stages s WHERE s.stage_name = odd.stage_name) AS has_stage,
+         EXISTS (FROM configurations c WHERE c.configuration = odd.configuration) AS has_configuration
+  FROM odd
+)"""
+
 _RUN_QUERIES = {
+    "unmatched_configurations": f"""WITH {_ODD_LOG}
+SELECT 'stage_name' AS dimension, stage_name AS value, count(*) AS record_count,
+       count(DISTINCT ({_RUN})) AS run_count, min(stage_time) AS first_time, max(stage_time) AS last_time
+FROM known WHERE NOT has_stage GROUP BY stage_name
+UNION ALL
+SELECT 'configuration', configuration, count(*), count(DISTINCT ({_RUN})), min(stage_time),
+       max(stage_time)
+FROM known WHERE NOT has_configuration GROUP BY configuration""",
+    "enrichment_balance": f"""WITH {_ODD_LOG}
+SELECT count(*) AS record_count, count(*) FILTER (has_stage AND has_configuration) AS kept_count,
+       count(*) FILTER (NOT has_stage AND has_configuration) AS unknown_stage_count,
+       count(*) FILTER (has_stage AND NOT has_configuration) AS unknown_configuration_count,
+       count(*) FILTER (NOT has_stage AND NOT has_configuration) AS unknown_both_count
+FROM known""",
+    "unmatched_customers": """
+SELECT o_custkey AS c_custkey, count(*) AS record_count,
+       CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS total_price
+FROM orders
+WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING')
+GROUP BY o_custkey""",
     "run_log": f"WITH {_RECORDS} SELECT * FROM records",
     "stage_order_delta": f"WITH {_LOG} SELECT * FROM log",
     "run_log_append": f"WITH {_LOG} SELECT * FROM log",

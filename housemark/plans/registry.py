@@ -13,7 +13,7 @@ from housemark.functions.prices import (
     postcode_area,
 )
 from housemark.functions.runs import RUN_ID_FORMAT, run_started_at
-from housemark.operators import measures, run_analytics, star_schema, summaries
+from housemark.operators import audits, measures, run_analytics, star_schema, summaries
 from housemark.operators.run_log import derive_configuration, order_stages
 from housemark.plans import price_jobs, run_jobs
 from housemark.sources import price_files, testdata
@@ -372,6 +372,35 @@ def profile_run_log(spark, folder):
     return _round_quartiles(run_analytics.profile(run_log_readback(spark, folder)))
 
 
+# Audits -------------------------------------------------------------------------
+
+
+def _log_with_odd_stages(spark: SparkSession, folder: str) -> DataFrame:
+    """The log with some records of a stage that has no row, and some of none."""
+    k = F.col("cpu_usage").cast("int")
+    name = F.when(k % 10 == 7, "teardown").when(k % 10 != 3, F.col("stage_name"))
+    return _log(spark, folder).withColumn("stage_name", name)
+
+
+@_query
+def unmatched_configurations(spark, folder):
+    return audits.unmatched_records(_log_with_odd_stages(spark, folder))
+
+
+@_query
+def enrichment_balance(spark, folder):
+    return audits.enrichment_balance(_log_with_odd_stages(spark, folder))
+
+
+@_query
+def unmatched_customers(spark, folder):
+    """Customers of the order table that the customer table lacks, by a join of two tables."""
+    orders = testdata.table(spark, folder, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    customers = testdata.table(spark, folder, "customer").where(F.col("c_mktsegment") != "BUILDING")
+    prices = F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total_price")
+    return audits.unmatched(orders, customers, "c_custkey", [prices])
+
+
 # Enrichment ---------------------------------------------------------------------
 
 

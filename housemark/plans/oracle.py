@@ -418,6 +418,7 @@ SELECT log.*, configuration_scale, total_v_cores, cu_per_second
 FROM log JOIN configurations USING (configuration)""",
     "cumulative_time": f"WITH {_ANALYTICS} SELECT * FROM analytics",
     "analytics_readback": f"WITH {_ANALYTICS} SELECT * FROM analytics",
+    "analytics_incremental": f"WITH {_ANALYTICS} SELECT * FROM analytics",
     "analytics_cache": f"WITH {_ANALYTICS} SELECT * FROM analytics",
     "distinct_configurations": f"""WITH {_ANALYTICS}
 SELECT DISTINCT configuration FROM analytics""",

@@ -15,10 +15,10 @@ from housemark.functions.prices import (
 from housemark.functions.runs import RUN_ID_FORMAT, run_started_at
 from housemark.operators import audits, measures, run_analytics, star_schema, summaries
 from housemark.operators.run_log import derive_configuration, order_stages
-from housemark.plans import price_jobs, run_jobs
+from housemark.plans import incremental, price_jobs, run_jobs
 from housemark.sources import price_files, testdata
-from housemark.sources.scratch import folders, new_path, stage
-from housemark.sources.tables import TableStore
+from housemark.sources.scratch import delete_tree, folders, new_path, stage
+from housemark.sources.tables import BATCH_COLUMN, TableStore
 from housemark.sources.testdata import RECORDS_PER_RUN_ARE_BOUNDED as BOUNDED
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -427,6 +427,31 @@ def analytics_readback(spark, folder):
     return run_jobs.build_analytics(log, store, BOUNDED)
 
 
+@_query
+def analytics_incremental(spark, folder):
+    """Three arrivals of the log, one batch with lost values written again, one that goes.
+
+    Each arrival is enriched by itself; the table must be that of the whole log.
+    """
+    store, log = _store(spark), stage(_log(spark, folder), "log")
+    number = F.pmod(F.xxhash64(*schemas.ONE_RUN), F.lit(12))
+    batch = F.concat(F.lit("b"), number)
+    torn = log.withColumn("stage_time_delta", F.lit(None).cast("double"))
+    extra = log.where(number == 3).withColumn("workload_name", F.lit("withdrawn"))
+    arrivals = (
+        (log.where(number < 4), batch),
+        (torn.where(number.between(4, 7)), batch),
+        (log.where(number > 7), batch),
+        (extra, F.lit("withdrawn")),
+        (log.where(number.between(4, 7)), batch),
+    )
+    for rows, name in arrivals:
+        store.append_batches(rows, "benchmarks", name, schemas.RUN_LOG)
+        incremental.refresh_analytics(store, BOUNDED)
+    delete_tree(spark, f"{store.path('benchmarks')}/{BATCH_COLUMN}=withdrawn", store.root)
+    return incremental.refresh_analytics(store, BOUNDED)
+
+
 @_query
 def analytics_cache(spark, folder):
     """The second write finds the cached table and leaves it as it is."""

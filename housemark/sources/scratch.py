@@ -77,6 +77,14 @@ def is_complete(spark: SparkSession, path: str) -> bool:
     return files.exists(folder)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or a folder that is not empty."""
+    files, target = _file_system(spark, path)
+    if not files.exists(target):
+        return False
+    return not files.getFileStatus(target).isDirectory() or len(files.listStatus(target)) > 0
+
+
 def folders(spark: SparkSession, path: str) -> list[str]:
     """Folders directly below ``path``."""
     files, folder = _file_system(spark, path)

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from housemark.sources.scratch import delete_tree, is_complete
+from housemark.sources.scratch import delete_tree, exists, is_complete
 
 BATCH_COLUMN = "batch_id"
 # Formats that are files in folders; any other has its own transactions.
@@ -77,6 +77,37 @@ class TableStore:
             "partitionOverwriteMode", "dynamic"
         ).save(self.path(table))
 
+    def replace_batches(self, frame: DataFrame, table: str, schema: T.StructType) -> None:
+        """Replace the rows of the batches that are in ``frame``, in its last column.
+
+        Batches of any size: Spark cuts large ones into several files and merges small tasks.
+        """
+        self._check(frame.drop(BATCH_COLUMN), table, schema)
+        dealt = frame.hint("rebalance", F.col(BATCH_COLUMN))
+        dealt.write.format(self.table_format).mode("overwrite").partitionBy(BATCH_COLUMN).option(
+            "partitionOverwriteMode", "dynamic"
+        ).save(self.path(table))
+
+    def batch_files(self, table: str) -> DataFrame:
+        """Files of an appended table with their batch; no file is opened.
+
+        Empty if the table is not there. Only for formats that are files in folders.
+        """
+        if self.table_format not in FILE_FORMATS:
+            raise ValueError(f"{self.table_format} keeps its own list of files")
+        if not self.is_there(table):
+            return self.spark.createDataFrame([], f"{BATCH_COLUMN} string, path string, "
+                                              "modificationTime timestamp, length long")
+        # The folder name is escaped as in a URL, but for the plus sign.
+        name = F.regexp_extract("path", f"/{BATCH_COLUMN}=([^/]*)/[^/]*$", 1)
+        batch = F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+        files = self.spark.read.format("binaryFile").load(f"{self.path(table)}/{BATCH_COLUMN}=*")
+        return files.select(batch.alias(BATCH_COLUMN), "path", "modificationTime", "length")
+
+    def is_there(self, table: str) -> bool:
+        """Whether anything was written under the table's name."""
+        return exists(self.spark, self.path(table))
+
     @staticmethod
     def _check(frame: DataFrame, table: str, schema: T.StructType) -> None:
         found = [(f.name, f.dataType) for f in frame.schema]
@@ -86,8 +117,12 @@ class TableStore:
 
     def read_appended(self, table: str, schema: T.StructType) -> DataFrame:
         """All batches of an appended table, without the batch column."""
+        return self.read_batches(table, schema).drop(BATCH_COLUMN)
+
+    def read_batches(self, table: str, schema: T.StructType) -> DataFrame:
+        """All batches of an appended table; the batch column is a partition of its files."""
         batched = T.StructType(schema.fields + [T.StructField(BATCH_COLUMN, T.StringType())])
-        return self.read(table, batched).drop(BATCH_COLUMN)
+        return self.read(table, batched)
 
     def cached(self, frame: DataFrame, table: str, refresh: bool = False) -> DataFrame:
         """Write unless a whole table is there and no refresh is asked for; then read.

@@ -112,7 +112,23 @@ tested AS (
   FROM texts
 )"""
 
+_DECODED = """
+WITH entries AS (
+  SELECT 'O' || o_orderkey AS code, min(o_orderstatus || ' ' || o_orderpriority) AS meaning
+  FROM orders WHERE o_orderkey % 10 <> 2 GROUP BY 1
+),
+lines AS (
+  SELECT l_orderkey, l_linenumber,
+         CASE WHEN l_orderkey % 3 = 0 THEN 'O3' WHEN l_orderkey % 50 <> 1 THEN 'O' || l_orderkey END
+           AS code
+  FROM lineitem
+)
+SELECT l_orderkey, l_linenumber, code, coalesce(meaning, code) AS state
+FROM lines LEFT JOIN entries USING (code)"""
+
 _PRICE_QUERIES = {
+    "decode_by_dictionary": _DECODED,
+    "decode_by_large_dictionary": _DECODED,
     "ingest_rejects": f"""WITH {_TEXTS}
 SELECT 'price' AS column_name, count(*) AS row_count, count(price_value) AS value_count,
        count(*) FILTER (bad_price) AS reject_count FROM tested

@@ -14,6 +14,7 @@ from housemark.functions.prices import (
 )
 from housemark.functions.runs import RUN_ID_FORMAT, run_started_at
 from housemark.operators import audits, measures, run_analytics, star_schema, summaries
+from housemark.operators.lookups import decode_by_table
 from housemark.operators.run_log import derive_configuration, order_stages
 from housemark.plans import incremental, price_jobs, run_jobs
 from housemark.sources import price_files, testdata
@@ -142,6 +143,37 @@ def decode_by_map_query(spark, folder):
     )
 
 
+def _decoded_lines(spark: SparkSession, folder: str, **limits: int) -> DataFrame:
+    """Order lines with the state of their order, a third of them of one code.
+
+    One order in ten is not in the dictionary, and some are in it twice.
+    """
+    key = F.col("l_orderkey")
+    lines = testdata.table(spark, folder, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        F.when(key % 3 == 0, "O3").when(key % 50 != 1, F.concat(F.lit("O"), key)).alias("code"),
+    )
+    orders = testdata.table(spark, folder, "orders").where("o_orderkey % 10 <> 2")
+    entries = orders.select(
+        F.concat(F.lit("O"), "o_orderkey").alias("code"),
+        F.concat_ws(" ", "o_orderstatus", "o_orderpriority").alias("meaning"),
+    )
+    twice = entries.where("code LIKE '%7'").withColumn("meaning", F.concat(F.lit("~"), "meaning"))
+    return decode_by_table(lines, "code", entries.union(twice), output="state", **limits)
+
+
+@_query
+def decode_by_dictionary(spark, folder):
+    return _decoded_lines(spark, folder)
+
+
+@_query
+def decode_by_large_dictionary(spark, folder):
+    """The same by shuffles, with the hot code in shares, whatever the size of the tables."""
+    return _decoded_lines(spark, folder, most_broadcast=0, hot_rows=1000)
+
+
 @_query
 def postcode_area_query(spark, folder):
     return _raw(spark, folder).select(

@@ -49,6 +49,7 @@ _TABLES = {
     "customer": "c_custkey bigint, c_nationkey int, c_mktsegment string",
     "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
     "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_linenumber int",
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, value double, props string",
 }
 

@@ -127,6 +127,13 @@ SELECT l_orderkey, l_linenumber, code, coalesce(meaning, code) AS state
 FROM lines LEFT JOIN entries USING (code)"""
 
 _PRICE_QUERIES = {
+    # A sketch keeps as many values as a group has here, so its quantiles are values at ranks.
+    "yearly_prices_sketched": f"""WITH {_MONTHS}
+SELECT CAST(substr(month_tag, 1, 4) AS INTEGER) AS year, property_type,
+       count(*) AS number_of_transactions, quantile_disc(price, 0.25) AS lower_quartile,
+       quantile_disc(price, 0.5) AS median_price, quantile_disc(price, 0.75) AS upper_quartile,
+       min(price) AS min_price, max(price) AS max_price
+FROM priced GROUP BY ALL""",
     "decode_by_dictionary": _DECODED,
     "decode_by_large_dictionary": _DECODED,
     "ingest_rejects": f"""WITH {_TEXTS}
@@ -498,6 +505,18 @@ FROM totals GROUP BY {_CONFIG}""",
 SELECT {_CONFIG}, median(ms / 1000.0) AS median_time FROM totals GROUP BY {_CONFIG}""",
     "run_count": f"""WITH {_ANALYTICS}
 SELECT {_CONFIG}, count(DISTINCT run_timestamp) AS run_count FROM analytics GROUP BY {_CONFIG}""",
+    "run_count_sketched": f"""WITH {_ANALYTICS}
+SELECT platform, workload_name, count(*) AS record_count,
+       count(DISTINCT run_timestamp) AS run_count
+FROM analytics
+WHERE CAST(stage_time AS DATE) BETWEEN DATE '2024-01-08' AND DATE '2024-01-21'
+GROUP BY platform, workload_name""",
+    "run_count_by_scope": f"""WITH {_ANALYTICS}
+SELECT CASE WHEN grouping(configuration) = 0 THEN 'configuration'
+            WHEN grouping(platform) = 0 THEN 'platform' ELSE 'all' END AS scope,
+       coalesce(configuration, platform) AS value, count(*) AS record_count,
+       count(DISTINCT run_timestamp) AS run_count
+FROM analytics GROUP BY GROUPING SETS ((configuration), (platform), ())""",
     "median_stage_time": f"""WITH {_ANALYTICS}
 SELECT workload_name, configuration, cu_per_second, stage_name,
        median(stage_time_delta) AS median_stage_time

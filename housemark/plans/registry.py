@@ -13,7 +13,7 @@ from housemark.functions.prices import (
     postcode_area,
 )
 from housemark.functions.runs import RUN_ID_FORMAT, run_started_at
-from housemark.operators import audits, measures, run_analytics, star_schema, summaries
+from housemark.operators import audits, measures, run_analytics, sketches, star_schema, summaries
 from housemark.operators.lookups import decode_by_table
 from housemark.operators.run_log import derive_configuration, order_stages
 from housemark.plans import incremental, price_jobs, run_jobs
@@ -246,6 +246,14 @@ def monthly_nonnull(spark, folder):
     return summaries.monthly_summary(_prices_with_month(spark, folder), count_nulls=False)
 
 
+@_query
+def yearly_prices_sketched(spark, folder):
+    """Years out of the stored sketches of months; prices are not read again."""
+    months = sketches.price_sketches(_prices_with_month(spark, folder))
+    stored = _store(spark).overwrite(months, "price_sketches")
+    return sketches.merged_prices(sketches.with_year(stored), ["year", "property_type"])
+
+
 @_query
 def summary_preview(spark, folder):
     return summaries.preview(monthly_summary(spark, folder), summaries.MONTHLY_KEYS)
@@ -627,6 +635,36 @@ def run_count(spark, folder):
     return measures.run_count(_analytics(spark, folder))
 
 
+def _stored_run_sketches(spark: SparkSession, folder: str) -> DataFrame:
+    days = sketches.run_sketches(_analytics(spark, folder))
+    return _store(spark).overwrite(days, "run_sketches")
+
+
+@_query
+def run_count_sketched(spark, folder):
+    """Runs of two weeks by platform and workload, out of the sketches of days."""
+    weeks = F.col("day").between(F.lit("2024-01-08").cast("date"), F.lit("2024-01-21").cast("date"))
+    found = _stored_run_sketches(spark, folder).where(weeks)
+    return sketches.merged_runs(found, ["platform", "workload_name"])
+
+
+@_query
+def run_count_by_scope(spark, folder):
+    """The same sketches under three other groupings: configuration, platform, and all."""
+    stored = _stored_run_sketches(spark, folder)
+    scopes = {"configuration": ["configuration"], "platform": ["platform"], "all": []}
+    parts = [
+        sketches.merged_runs(stored, by).select(
+            F.lit(scope).alias("scope"),
+            F.col(by[0]).alias("value") if by else F.lit(None).cast("string").alias("value"),
+            "record_count",
+            "run_count",
+        )
+        for scope, by in scopes.items()
+    ]
+    return price_files.union_frames(parts)
+
+
 @_query
 def median_stage_time(spark, folder):
     return measures.median_stage_time(_analytics(spark, folder))

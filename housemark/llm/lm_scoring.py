@@ -26,12 +26,12 @@ from itertools import count
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from housemark.llm.byte_level import ByteLevel
 from housemark.sources.scratch import stage
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -157,49 +157,55 @@ class Lattice:
                 node = node.setdefault(byte, {})
             node[-1] = (number, float(scores[number]))
 
-    def arcs(self, word: bytes) -> tuple[list[list[tuple[int, int, float]]], list[float]]:
-        """From each place the (end, piece, log probability) of pieces that start there, and
-        the log probability of all ways to reach each place."""
+    def ways(self, word: bytes) -> list[float]:
+        """The log probability of all ways to reach each place of the word."""
         size, root, log1p, exp = len(word), self.root, math.log1p, math.exp
         ways: list = [None] * (size + 1)
         ways[0] = 0.0
-        found = []
         for start in range(size):
-            here, node, own = ways[start], root, []
+            here, node = ways[start], root
             for end in range(start, size):
                 node = node.get(word[end])
                 if node is None:
                     break
                 known = node.get(-1)
                 if known is not None:
-                    piece, score = known
-                    own.append((end + 1, piece, score))
-                    new, old = here + score, ways[end + 1]
+                    new, old = here + known[1], ways[end + 1]
                     if old is None:
                         ways[end + 1] = new
                     elif new > old:
                         ways[end + 1] = new + log1p(exp(old - new))
                     else:
                         ways[end + 1] = old + log1p(exp(new - old))
-            found.append(own)
-        return found, ways
+        return ways
 
     def log_probability(self, word: bytes) -> float:
-        return self.arcs(word)[1][-1]
+        return self.ways(word)[-1]
 
     def expected(self, word: bytes, weight: float, into: list[float]) -> None:
-        """Add ``weight`` times the expected number of each piece in the word."""
-        arcs, before = self.arcs(word)
+        """Add ``weight`` times the expected number of each piece in the word.
+
+        Pieces are looked up again on the way back: kept, those of a long word fill the memory.
+        """
+        before = self.ways(word)
         after = [0.0] * len(before)
-        whole, exp = before[-1], math.exp
-        for start in range(len(word) - 1, -1, -1):
-            terms = [score + after[end] for end, _, score in arcs[start]]
+        size, root, whole, exp = len(word), self.root, before[-1], math.exp
+        for start in range(size - 1, -1, -1):
+            node, pieces, terms = root, [], []
+            for end in range(start, size):
+                node = node.get(word[end])
+                if node is None:
+                    break
+                known = node.get(-1)
+                if known is not None:
+                    pieces.append(known[0])
+                    terms.append(known[1] + after[end + 1])
             most = max(terms)
             shares = [exp(x - most) for x in terms]
             total = sum(shares)
             after[start] = most + math.log(total)
             reached = weight * exp(before[start] + after[start] - whole) / total
-            for (_, piece, _), share in zip(arcs[start], shares):
+            for piece, share in zip(pieces, shares):
                 into[piece] += reached * share
 
 
@@ -229,15 +235,10 @@ def train_scores(words: DataFrame, ends: int, path: str, rounds: int = ROUNDS) -
         yield pa.RecordBatch.from_pydict({"piece": pa.array(piece), "n": pa.array(found[piece])})
 
     def plainly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = tiktoken.Encoding(
-            path,
-            pat_str=public_tokenizers.PATTERN,
-            mergeable_ranks=read_pieces(path),
-            special_tokens={},
-        )
+        vocabulary = ByteLevel(path)
 
         def add(word: bytes, n: int, totals: list[float]) -> None:
-            for piece in encoding.encode_ordinary(word.decode(errors="replace")):
+            for piece in vocabulary.encode(word.decode(errors="replace")):
                 totals[piece] += n
 
         yield from summed(add, batches)

@@ -11,17 +11,17 @@ They are packed as they are tokenised: nothing is shuffled, a task holds one gro
 lost task repeats the same groups.
 """
 
-import base64
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from housemark.llm.byte_level import ByteLevel
+
 RANKS = "byte_bpe_50k.tiktoken"
 # Fixed value: the vocabulary's one special token.
 SPECIAL = {"<|endoftext|>": 50256}
@@ -34,17 +34,13 @@ LINEAR, QUADRATIC = 1.0, 1.0 / 512
 _ROWS = 64
 
 
-def tokenizer(path: str) -> tiktoken.Encoding:
+def tokenizer(path: str) -> ByteLevel:
     """The byte-level vocabulary at ``path``, read from its ranks.
 
     ``byte_bpe_50k.json`` is the same vocabulary; a test holds the ids of whole tables and
     of every code point against it. Its own library takes four times the CPU time.
     """
-    with open(path, "rb") as file:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-    return tiktoken.Encoding(
-        path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL
-    )
+    return ByteLevel(path, SPECIAL)
 
 
 def pack(
@@ -94,7 +90,7 @@ def _groups(
         for at in range(0, batch.num_rows, _ROWS):
             part = batch.slice(at, _ROWS)
             for x in part.column(1).to_pylist():
-                found = encode(x or "", allowed_special="all")
+                found = encode(x or "")
                 documents.append(np.array([*found, end], "<u4"))
                 tokens += len(documents[-1])
             held.append(part.column(0))

@@ -130,3 +130,13 @@ def test_no_training_documents(spark):
 
 def test_no_rows(none):
     assert scored(none).collect() == []
+
+
+def test_words_of_a_million_characters(spark):
+    """White space that is no separator, and letters, in training and in held-out texts."""
+    texts = ["\xa0" * 1_000_000, "x" * 1_000_000, "a b c"] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = lm_scoring.score(docs, F.col("doc_id") > 2).sort("doc_id").collect()
+    assert [r.n_tokens for r in rows] == [2, 2, 4, 2, 2, 4]
+    assert [r.score for r in rows[:3]] == [r.score for r in rows[3:]]
+    assert all(math.isfinite(r.score) and r.score < -1 for r in rows)

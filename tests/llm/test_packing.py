@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -25,7 +26,7 @@ def same_ids(reference, texts):
     own = packing.tokenizer(public_tokenizers.path(packing.RANKS))
     for text in texts:
         wanted = reference.encode(text, add_special_tokens=False).ids
-        assert own.encode(text, allowed_special="all") == wanted, text[:80]
+        assert own.encode(text) == wanted, text[:80]
 
 
 def test_ids_are_those_of_the_other_library(spark, reference):
@@ -39,6 +40,37 @@ def test_ids_of_every_code_point(reference):
     same_ids(reference, ["".join(f"a{c}1 {c}b{c}  \n" for c in part) for part in parts])
 
 
+WHITE = [chr(c) for c in range(0x110000) if chr(c).isspace() and not 0x1C <= c <= 0x1F]
+
+
+@pytest.mark.parametrize("character", " \n\xa0", ids=lambda c: f"{ord(c):x}")
+def test_a_million_white_characters(reference, character):
+    same_ids(reference, [character * 1_000_000 + "x"])
+
+
+def test_runs_of_every_white_character(reference):
+    same_ids(reference, [x for c in WHITE for x in ("a" + c * 3000 + "x", c * 3000)])
+
+
+def test_long_runs_among_other_text(reference):
+    runs = ["".join(rng.choices(WHITE, k=rng.choice([1, 2, 999, 1000, 1001, 1500]))) for rng in [random.Random(7)] for _ in range(12)]
+    ends = ["x", " x", "'s", "1", "-", "<|endoftext|>", "<|endoftext", "é", ""]
+    same_ids(reference, ["a" + run + end + other for run in runs for end in ends for other in ("", runs[3] + "b")])
+
+
+@pytest.mark.parametrize("letters", ["=", "日本", "abcdefghijklmnopqrstuvwxyz"])
+def test_a_million_characters_without_space(reference, letters):
+    rng = random.Random(letters)
+    same_ids(reference, ["".join(rng.choices(letters, k=1_000_000))])
+
+
+def test_long_white_space_in_a_table(spark, reference):
+    texts = {1: " " * 1_000_000, 2: "\n" * 1_000_000 + "x", 3: "a b"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = packing.pack(docs, with_ids=False).groupBy("doc_id").agg({"length": "sum"}).collect()
+    assert {r[0]: r[1] - 1 for r in rows} == {i: len(reference.encode(x).ids) for i, x in texts.items()}
+
+
 def check_assigned(lengths, length):
     rows = packing.assign(np.array(lengths, np.int64), length)
     assert (rows[:, 2] > 0).all()

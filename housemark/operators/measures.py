@@ -106,3 +106,77 @@ def time_cost_scatter(analytics: DataFrame) -> DataFrame:
     return points.groupBy(*by).agg(
         *[F.max(name).alias(name) for name in ("median_time", "median_cost", "run_count")]
     )
+
+
+#: Groupings that the report's pages use, from the finest to all rows.
+CONTEXTS: tuple[tuple[str, ...], ...] = (
+    tuple(CONFIG_KEY),
+    ("platform", "configuration"),
+    ("workload_name",),
+    ("platform",),
+    (),
+)
+
+
+def measures_by_context(
+    analytics: DataFrame, contexts: Sequence[Sequence[str]] = CONTEXTS
+) -> DataFrame:
+    """All measures under several groupings, out of one row for each run.
+
+    ``context`` names the grouping by its columns, joined with commas; columns that are not
+    part of it are NULL, and a NULL label within it is a group. The log is read and shuffled
+    once, into totals by run, which are written; each run then counts in every context. Equal
+    to the single measures with ``by``; the median of a group without a measured run is NULL.
+    """
+    names = list(dict.fromkeys(name for context in contexts for name in context))
+    runs = stage(
+        _run_totals(analytics, names).select(
+            *names,
+            "run_timestamp",
+            F.col("__ms").alias("time"),
+            _cost_ms().alias("cost"),
+        ),
+        "runs",
+    )
+    kinds = runs.schema
+
+    def scope(context: Sequence[str]) -> Column:
+        kept = [
+            (F.col(n) if n in context else F.lit(None).cast(kinds[n].dataType)).alias(n) for n in names
+        ]
+        return F.struct(F.lit(",".join(context)).alias("context"), *kept)
+
+    scoped = runs.select(
+        F.inline(F.array(*map(scope, contexts))), "run_timestamp", "time", "cost"
+    )
+    keys = ["context", *names]
+    simple = scoped.groupBy(*keys).agg(
+        F.count_distinct("run_timestamp").alias("run_count"),
+        as_seconds(F.sum("time")).alias("total_time"),
+        _mean_seconds(F.col("time")).alias("average_time"),
+        _mean_seconds(F.col("cost")).alias("average_cost"),
+    )
+    measured = scoped.select(
+        *keys,
+        F.inline(
+            F.array(
+                *(
+                    F.struct(F.lit(kind).alias("__kind"), as_seconds(F.col(kind)).alias("__value"))
+                    for kind in ("time", "cost")
+                )
+            )
+        ),
+    )
+    medians = exact_median(measured, [*keys, "__kind"], "__value", "__median").select(
+        *keys,
+        *(
+            F.when(F.col("__kind") == kind, F.col("__median")).alias(f"median_{kind}")
+            for kind in ("time", "cost")
+        ),
+    )
+    # Two rows of medians and one of the rest meet by grouping, which keeps NULL labels.
+    together = simple.unionByName(medians, allowMissingColumns=True)
+    found = (
+        "run_count", "total_time", "average_time", "median_time", "average_cost", "median_cost"
+    )
+    return together.groupBy(*keys).agg(*(F.max(name).alias(name) for name in found))

@@ -387,7 +387,17 @@ known AS (
   FROM odd
 )"""
 
+_DRAWN = "md5('7:' || {})".format(
+    " || ".join(
+        f"coalesce(strlen({c}) || ':' || {c}, '-')"
+        for c in ("platform", "configuration", "workload_name", "run_timestamp", "stage_name")
+    )
+)
+
 _RUN_QUERIES = {
+    "sample_rows": f"WITH {_REPORTED} SELECT * FROM reported ORDER BY {_DRAWN} LIMIT 5",
+    "sample_share": f"""WITH {_REPORTED}
+SELECT * FROM reported WHERE ('0x' || substr({_DRAWN}, 1, 8))::BIGINT < 214748364""",
     "unmatched_configurations": f"""WITH {_ODD_LOG}
 SELECT 'stage_name' AS dimension, stage_name AS value, count(*) AS record_count,
        count(DISTINCT ({_RUN})) AS run_count, min(stage_time) AS first_time, max(stage_time) AS last_time
@@ -528,6 +538,19 @@ FROM totals GROUP BY {_CONFIG}""",
     "median_cost": f"""WITH {_RUN_TOTALS}
 SELECT {_CONFIG}, median(ms * cu_per_second / 1000.0) AS median_cost
 FROM totals GROUP BY {_CONFIG}""",
+    "measures_by_context": f"""WITH {_RUN_TOTALS}
+SELECT CASE WHEN grouping(cu_per_second) = 0 THEN '{_CONFIG.replace(" ", "")}'
+            WHEN grouping(configuration) = 0 THEN 'platform,configuration'
+            WHEN grouping(workload_name) = 0 THEN 'workload_name'
+            WHEN grouping(platform) = 0 THEN 'platform' ELSE '' END AS context,
+       {_CONFIG}, count(DISTINCT run_timestamp) AS run_count,
+       CAST(sum(ms) AS DOUBLE) / 1000.0 AS total_time,
+       CAST(sum(ms) AS DOUBLE) / (count(ms) * 1000.0) AS average_time,
+       median(ms / 1000.0) AS median_time,
+       CAST(sum(ms * cu_per_second) AS DOUBLE) / (count(ms) * 1000.0) AS average_cost,
+       median(ms * cu_per_second / 1000.0) AS median_cost
+FROM totals
+GROUP BY GROUPING SETS (({_CONFIG}), (platform, configuration), (workload_name), (platform), ())""",
     "time_cost_scatter": f"""WITH {_RUN_TOTALS}
 SELECT platform, workload_name, configuration, median(ms / 1000.0) AS median_time,
        median(ms * cu_per_second / 1000.0) AS median_cost,

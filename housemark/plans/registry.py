@@ -513,9 +513,18 @@ def selected_configurations(spark, folder):
     return _reported(spark, folder)
 
 
+# What tells records of the log apart.
+_RECORD = [*schemas.ONE_RUN, "stage_name"]
+
+
 @_query
 def sample_rows(spark, folder):
-    return summaries.sample_rows(_reported(spark, folder), seed=7)
+    return summaries.sample_rows(_reported(spark, folder), seed=7, by=_RECORD)
+
+
+@_query
+def sample_share(spark, folder):
+    return summaries.sample_share(_reported(spark, folder), 0.05, seed=7, by=_RECORD)
 
 
 @_query
@@ -680,6 +689,11 @@ def median_cost(spark, folder):
     return measures.median_cost(_analytics(spark, folder))
 
 
+@_query
+def measures_by_context(spark, folder):
+    return measures.measures_by_context(_analytics(spark, folder))
+
+
 @_query
 def time_cost_scatter(spark, folder):
     return measures.time_cost_scatter(_analytics(spark, folder))

@@ -9,7 +9,7 @@ from housemark.plans import registry
 from housemark.plans.oracle import oracle_sql as oracle_queries
 
 FOLDER = "/root/testdata/sf0.001"
-ROWS_ONLY = {"raw_inventory", "raw_preview", "sample_rows"}
+ROWS_ONLY = {"raw_inventory", "raw_preview"}
 
 
 @pytest.fixture(scope="module")
@@ -17,7 +17,7 @@ def oracle():
     return connect(FOLDER)
 
 
-def test_only_three_queries_have_no_sql():
+def test_only_two_queries_have_no_sql():
     assert set(registry.queries()) - set(oracle_queries()) == ROWS_ONLY
     assert set(oracle_queries()) <= set(registry.queries()) <= set(entry.queries())
 
@@ -31,16 +31,14 @@ def test_equals_sql_without_python_or_cross_joins(spark, oracle, name):
     assert not differences(frame, oracle, entry.oracle_sql()[name])
 
 
-@pytest.mark.parametrize("name, rows", [("raw_preview", 5), ("sample_rows", 5), ("raw_inventory", 1)])
+@pytest.mark.parametrize("name, rows", [("raw_preview", 5), ("raw_inventory", 1)])
 def test_rows_only(spark, name, rows):
     assert entry.queries()[name](spark, FOLDER).count() == rows
 
 
-@pytest.mark.parametrize("name", ["raw_preview", "sample_rows"])
-def test_rows_come_from_the_input(spark, name):
-    raw = summaries.with_month_and_year(registry._raw(spark, FOLDER))
-    whole = raw if name == "raw_preview" else entry.queries()["selected_configurations"](spark, FOLDER)
-    found = entry.queries()[name](spark, FOLDER)
+def test_rows_come_from_the_input(spark):
+    whole = summaries.with_month_and_year(registry._raw(spark, FOLDER))
+    found = entry.queries()["raw_preview"](spark, FOLDER)
     assert found.columns == whole.columns
     assert {tuple(r) for r in found.collect()} <= {tuple(r) for r in whole.collect()}
 

@@ -28,6 +28,11 @@ def prices_fact(clean: DataFrame) -> DataFrame:
     return clean.select(*PRICES.fieldNames())
 
 
+def prices_fact_by_year(clean: DataFrame) -> DataFrame:
+    """The fact with the year of its date, which its files are then cut by."""
+    return prices_fact(clean).withColumn("year", F.year("date_of_transfer"))
+
+
 def locations_dim(clean: DataFrame) -> DataFrame:
     """Distinct county, district and town."""
     return clean.select(*LOCATION_COLUMNS).distinct()
@@ -62,6 +67,26 @@ def with_month_tag(dates: DataFrame) -> DataFrame:
     return dates.withColumn("month_tag", month_tag(F.col("date")))
 
 
+def in_years(frame: DataFrame, first: int | None = None, last: int | None = None) -> DataFrame:
+    """Rows of the years ``first`` to ``last``; of a table cut by year other files stay shut."""
+    year = F.col("year")
+    kept = frame.where(year >= first) if first is not None else frame
+    return kept.where(year <= last) if last is not None else kept
+
+
+def on_days(prices: DataFrame, days: DataFrame) -> DataFrame:
+    """Prices of the days in ``days``, chosen rows of the stored calendar, with its month tag.
+
+    The join is on the year too, so that with a fact cut by year only the files of the chosen
+    days' years are opened, whatever the days were chosen by.
+    """
+    calendar = with_month_tag(days).select(
+        F.col("year").alias("of_year"), F.col("date").alias("of_date"), "month_tag"
+    )
+    same = (prices["year"] == calendar["of_year"]) & (prices["date_of_transfer"] == calendar["of_date"])
+    return prices.join(calendar, same).drop("of_year", "of_date")
+
+
 def without_other(prices: DataFrame) -> DataFrame:
     """Rows of known kinds only; NULL kinds are rejected too. Reaches the file scan."""
     return prices.where(F.col("property_type") != "Other")

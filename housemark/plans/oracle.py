@@ -127,6 +127,16 @@ SELECT l_orderkey, l_linenumber, code, coalesce(meaning, code) AS state
 FROM lines LEFT JOIN entries USING (code)"""
 
 _PRICE_QUERIES = {
+    "prices_of_years": f"""WITH {_CLEAN}
+SELECT price, date_of_transfer, postcode_area, town_city, property_type, old_new,
+       CAST(year(date_of_transfer) AS INTEGER) AS year
+FROM clean WHERE property_type <> 'Other' AND year(date_of_transfer) BETWEEN 1998 AND 1999""",
+    "monthly_summary_of_years": f"""{_MONTHLY.replace("FROM priced", "FROM priced WHERE year(date_of_transfer) BETWEEN 1998 AND 1999")}""",
+    "weekend_summary": f"""WITH {_MONTHS}
+SELECT month_tag, property_type, count(*) AS number_of_transactions, {_FIGURES}
+FROM priced JOIN dates ON date = date_of_transfer
+WHERE month IN (12, 1, 2) AND year BETWEEN 1996 AND 1997 AND weekday IN (0, 6)
+GROUP BY month_tag, property_type""",
     # A sketch keeps as many values as a group has here, so its quantiles are values at ranks.
     "yearly_prices_sketched": f"""WITH {_MONTHS}
 SELECT CAST(substr(month_tag, 1, 4) AS INTEGER) AS year, property_type,

@@ -3,10 +3,10 @@
 from collections.abc import Callable, Sequence
 from contextlib import AbstractContextManager, ExitStack, nullcontext
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from housemark.operators import rejects, star_schema, summaries
-from housemark.schemas import DATES, PRICE_PAID_RAW, PRICES, RAW_COLUMNS_USED
+from housemark.schemas import DATES, PRICE_PAID_RAW, PRICES, PRICES_BY_YEAR, RAW_COLUMNS_USED
 from housemark.sources.price_files import CSV, read_price_paid, read_with_rejects
 from housemark.sources.scratch import stage, staged
 from housemark.sources.tables import TableStore
@@ -37,6 +37,40 @@ def write_star_schema(
         store.overwrite(star_schema.locations_dim(clean), "locations")
 
 
+def write_star_schema_by_year(clean: DataFrame, store: TableStore) -> None:
+    """Write ``prices_by_year``, cut by the year of the transfer, and its ``dates``."""
+    by_year = star_schema.prices_fact_by_year(clean)
+    prices = store.overwrite_by(by_year, "prices_by_year", ["year"])
+    store.overwrite(star_schema.dates_dim(star_schema.date_bounds(prices)), "dates", files=1)
+
+
+def read_prices_by_year(
+    store: TableStore, first: int | None = None, last: int | None = None
+) -> DataFrame:
+    """Prices of known kinds of some years; no other year's files are opened."""
+    stored = store.read("prices_by_year", PRICES_BY_YEAR)
+    return star_schema.without_other(star_schema.in_years(stored, first, last))
+
+
+def summarise_years(
+    store: TableStore, first: int | None = None, last: int | None = None
+) -> DataFrame:
+    """Monthly summary of some years out of the fact that is cut by year."""
+    dates = star_schema.in_years(store.read("dates", DATES), first, last)
+    prices = read_prices_by_year(store, first, last)
+    joined = summaries.join_dates(prices, star_schema.with_month_tag(dates))
+    return summaries.monthly_summary(joined)
+
+
+def summarise_days(store: TableStore, chosen: Column) -> DataFrame:
+    """Monthly summary of the days that ``chosen``, a condition on the calendar, holds for.
+
+    Spark finds the years of these days when the join runs, and opens only their files.
+    """
+    days = store.read("dates", DATES).where(chosen)
+    return summaries.monthly_summary(star_schema.on_days(read_prices_by_year(store), days))
+
+
 def summarise_star_schema(
     store: TableStore,
     approximate: bool = False,
@@ -111,5 +145,5 @@ def files_to_recent_summary(
     raw = read_price_paid(spark, paths, ["date_of_transfer", "property_type", "price"])
     # The median scans its input twice, and parsing text twice would cost more.
     summary = summaries.monthly_summary_ym(stage(raw, "raw"))
-    stored = store.overwrite(summary, "monthly_summary")
+    stored = store.overwrite_by(summary, "monthly_summary", ["year"])
     return summaries.recent_summary(stored, after_year)

@@ -246,6 +246,30 @@ def monthly_nonnull(spark, folder):
     return summaries.monthly_summary(_prices_with_month(spark, folder), count_nulls=False)
 
 
+def _written_by_year(spark: SparkSession, folder: str) -> TableStore:
+    store = _store(spark)
+    price_jobs.write_star_schema_by_year(_clean(spark, folder), store)
+    return store
+
+
+@_query
+def prices_of_years(spark, folder):
+    return price_jobs.read_prices_by_year(_written_by_year(spark, folder), RECENT_AFTER + 1, 1999)
+
+
+@_query
+def monthly_summary_of_years(spark, folder):
+    return price_jobs.summarise_years(_written_by_year(spark, folder), RECENT_AFTER + 1, 1999)
+
+
+@_query
+def weekend_summary(spark, folder):
+    """Weekends of two winters, chosen in the calendar."""
+    winter = F.col("month").isin(12, 1, 2) & F.col("year").between(1996, 1997)
+    weekend = F.col("weekday").isin(0, 6)
+    return price_jobs.summarise_days(_written_by_year(spark, folder), winter & weekend)
+
+
 @_query
 def yearly_prices_sketched(spark, folder):
     """Years out of the stored sketches of months; prices are not read again."""

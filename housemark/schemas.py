@@ -57,6 +57,7 @@ PRICES = layout(
     ("property_type", TEXT),
     ("old_new", TEXT),
 )
+PRICES_BY_YEAR = layout(*((f.name, f.dataType) for f in PRICES), ("year", INT))
 
 DATES = layout(
     ("date", T.DateType()),

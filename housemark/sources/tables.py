@@ -1,6 +1,7 @@
 """Tables of the lakehouse: overwrite, replace, append, cache, remove."""
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,6 +43,16 @@ class TableStore:
         ).save(self.path(table))
         return self.read(table, frame.schema)
 
+    def overwrite_by(self, frame: DataFrame, table: str, by: Sequence[str]) -> DataFrame:
+        """Replace rows, in a folder for each value of ``by``, which filters then choose among.
+
+        Folders of any size: Spark cuts large ones into several files and merges small tasks.
+        Returns the table with its columns in the order of ``frame``.
+        """
+        dealt = frame.hint("rebalance", *(F.col(name) for name in by))
+        dealt.write.mode("overwrite").format(self.table_format).partitionBy(*by).save(self.path(table))
+        return self.read(table, frame.schema).select(*frame.columns)
+
     def replace(self, frame: DataFrame, table: str) -> DataFrame:
         """Replace rows and schema."""
         frame.write.mode("overwrite").option("overwriteSchema", "true").format(

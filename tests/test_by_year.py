@@ -1,0 +1,86 @@
+"""The fact that is cut by year, and what reads of it."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from housemark.operators import star_schema, summaries
+from housemark.plans import price_jobs
+from housemark.schemas import DATES, PRICES_BY_YEAR
+from housemark.sources import price_files, testdata
+from housemark.sources.scratch import new_path
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def partition_filters(frame):
+    text = frame._jdf.queryExecution().executedPlan().toString()
+    return [x.split("]", 1)[0] for x in text.split("PartitionFilters: [")[1:]]
+
+
+def rows(frame):
+    return sorted(map(str, frame.collect()))
+
+
+@pytest.fixture(scope="module")
+def clean(spark):
+    return star_schema.clean_price_paid(testdata.price_paid_raw(spark, FOLDER))
+
+
+@pytest.fixture
+def written(store, clean):
+    undated = clean.limit(3).withColumn("date_of_transfer", F.lit(None).cast("date"))
+    price_jobs.write_star_schema_by_year(clean.union(undated), store)
+    return store
+
+
+def test_every_row_is_written_under_its_year(written, clean):
+    stored = written.read("prices_by_year", PRICES_BY_YEAR)
+    assert stored.count() == clean.count() + 3
+    assert stored.where("year IS NULL").count() == stored.where("date_of_transfer IS NULL").count() == 3
+    assert stored.where(F.col("year") != F.year("date_of_transfer")).count() == 0
+
+
+def test_only_files_of_the_asked_years_are_opened(written, clean):
+    found = price_jobs.read_prices_by_year(written, 1997, 1998)
+    assert "year" in partition_filters(found)[0]
+    wanted = star_schema.without_other(clean).where(F.year("date_of_transfer").between(1997, 1998))
+    assert found.count() == wanted.count() > 0
+    assert rows(found.drop("year")) == rows(star_schema.prices_fact(wanted))
+
+
+def test_one_side_open_and_no_limits(written):
+    whole = price_jobs.read_prices_by_year(written)
+    late, early = price_jobs.read_prices_by_year(written, 1999), price_jobs.read_prices_by_year(written, last=1998)
+    assert late.count() + early.count() + whole.where("year IS NULL").count() == whole.count()
+
+
+def test_summaries_are_those_of_the_whole_fact(written, clean):
+    dates = star_schema.with_month_tag(written.read("dates", DATES))
+    joined = summaries.join_dates(star_schema.without_other(star_schema.prices_fact(clean)), dates)
+    whole = summaries.monthly_summary(joined)
+    found = price_jobs.summarise_years(written, 1996, 1998)
+    assert rows(found) == rows(whole.where(F.substring("month_tag", 1, 4).between("1996", "1998")))
+    assert rows(price_jobs.summarise_days(written, F.col("date").isNotNull())) == rows(whole)
+
+
+def test_days_of_the_calendar_choose_the_files(written):
+    days = written.read("dates", DATES).where("date BETWEEN '1997-01-01' AND '1997-12-31' AND weekday = 0")
+    joined = star_schema.on_days(price_jobs.read_prices_by_year(written), days)
+    assert any("dynamicpruning" in x for x in partition_filters(joined))
+    found = joined.agg(F.min("date_of_transfer"), F.max("date_of_transfer"), F.max(F.dayofweek("date_of_transfer"))).first()
+    assert found[0].year == found[1].year == 1997 and found[2] == 1
+
+
+def test_stored_summary_is_cut_by_year(spark, store):
+    path = new_path(spark, "raw")
+    price_files.write_price_paid(testdata.price_paid_raw(spark, FOLDER), path)
+    found = price_jobs.files_to_recent_summary(spark, path, store, 1997)
+    assert "year" in partition_filters(found)[0]
+    assert found.columns[:3] == ["year", "month_number", "property_type"]
+    assert found.agg(F.min("year")).first()[0] == 1998
+
+
+def test_no_rows(store, clean):
+    price_jobs.write_star_schema_by_year(clean.limit(0), store)
+    assert price_jobs.read_prices_by_year(store, 1990).collect() == []
+    assert price_jobs.summarise_years(store, 1990).collect() == []

@@ -5,7 +5,8 @@ ranges of the keys, the order and a hash of the whole row, so that also a key wi
 all rows, a burst, or many rows with equal positions come apart; rows that are equal in every
 column are all that stay together. Each range of a key is then a window of its own, and what
 precedes it in its key is added from a table of range totals. Only keys that span ranges have
-rows in that table, at most two for each range.
+rows in that table, at most two for each range. Where the keys are counted first and all have
+few rows, a plain window does the same.
 """
 
 from collections.abc import Sequence
@@ -20,6 +21,10 @@ from pyspark.sql import functions as F
 from housemark.sources.scratch import stage
 
 
+#: Rows of a key that a task can sort and add up as a plain window.
+KEY_ROWS = 1_000_000
+
+
 @dataclass(frozen=True)
 class Running:
     """What to compute: ``(source, output)`` pairs, or an output name for the number."""
@@ -36,17 +41,23 @@ def running(
     want: Running,
     bounded: bool = False,
     ranges: int | None = None,
+    key_rows: int | None = None,
 ) -> DataFrame:
     """Add the columns of ``want`` to ``frame``, computed per key in ``order``.
 
     The rows are written once, with the number of their range: ranges come from a sample,
     and both uses of them have to agree. ``ranges`` is Spark's number of shuffle partitions
     unless given. ``bounded`` says that the data model bounds the rows of a key, which makes
-    this a plain, lazy window.
+    this a plain, lazy window. With ``key_rows`` the rows of the keys are counted, and the
+    window is a plain one if no key has more: that reads the frame once more, which the sample
+    does too, but writes and shuffles only a count for each key. The results are the same.
     """
     keys, order = list(keys), list(order)
     if bounded:
         return _within(frame, keys, order, want)
+    if key_rows is not None and not _has_larger_key(frame, keys, key_rows):
+        tied = frame.withColumn("__tie", F.xxhash64(*frame.columns))
+        return _within(tied, keys, [*order, "__tie"], want).drop("__tie")
     ranged = stage(in_ranges(frame, keys, order, ranges), "ranged")
     local = _within(ranged, [*keys, "__range"], [*order, "__tie"], want)
     carried = _carried(ranged, keys, [*order, "__tie"], want)
@@ -69,6 +80,11 @@ def running(
     return joined.withColumns(made).select(*frame.columns, *made)
 
 
+def _has_larger_key(frame: DataFrame, keys: Sequence[str], rows: int) -> bool:
+    counted = frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    return not counted.where(F.col("__rows") > rows).isEmpty()
+
+
 def in_ranges(
     frame: DataFrame, keys: Sequence[str], order: Sequence[str], ranges: int | None = None
 ) -> DataFrame:

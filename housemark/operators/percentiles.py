@@ -6,8 +6,8 @@ Here a group is first cut into cells by magnitude. Counting the cells (one scan,
 with partial aggregation) tells which of them hold the wanted ranks, and only the
 rows of those cells are then counted by value (a second scan). A cell is
 ``1 / resolution`` wide relative to its values, but values close to each other, or a
-very large group, can still put any number of distinct ones into it: they are ranked
-by running totals over ranges (``ordered``), never in one task.
+very large group, can still put any number of distinct ones into it: a cell that holds more
+than a task can rank is ranked by running totals over ranges (``ordered``).
 """
 
 from collections.abc import Mapping, Sequence
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from housemark.operators.ordered import Running, running
+from housemark.operators.ordered import KEY_ROWS, Running, running
 from housemark.sources.scratch import stage
 
 RESOLUTION = 256
@@ -71,13 +71,19 @@ def _wanted_cells(rows: DataFrame, keys: Sequence[str], probabilities: Sequence[
         )
     )
     # A group of NULLs has no rank to hold; its only cell keeps the group alive.
-    return cells.where((F.col("__n") == 0) | _holds_rank(probabilities)).drop("__end")
+    wanted = cells.where((F.col("__n") == 0) | _holds_rank(probabilities))
+    return wanted.withColumn("__held", F.col("__end") - F.col("__start")).drop("__end")
 
 
 def _ranked_values(
     rows: DataFrame, cells: DataFrame, keys: Sequence[str], probabilities: Sequence[float]
 ) -> DataFrame:
-    """Distinct values at the wanted ranks, as half-open rank ranges, with group totals."""
+    """Distinct values at the wanted ranks, as half-open rank ranges, with group totals.
+
+    How many values a cell holds is known: only if one holds more than a task can rank are
+    they ranked over ranges.
+    """
+    few = cells.where(F.col("__held") > KEY_ROWS).isEmpty()
     wanted = cells.withColumnsRenamed({name: f"__of_{name}" for name in [*keys, "__cell"]})
     same_cell = reduce(
         and_,
@@ -89,7 +95,7 @@ def _ranked_values(
         .groupBy(*keys, "__cell", "__v", "__start", *_TOTALS)
         .agg(F.count(F.lit(1)).alias("__count"))
     )
-    ranked = running(counted, [*keys, "__cell"], ["__v"], Running(total=("__count", "__upto")))
+    ranked = running(counted, [*keys, "__cell"], ["__v"], Running(total=("__count", "__upto")), few)
     ends = F.col("__start") + F.col("__upto")
     return ranked.select(
         *keys, "__v", *_TOTALS, (ends - F.col("__count")).alias("__from"), ends.alias("__to")

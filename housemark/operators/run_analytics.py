@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from housemark.functions.runs import as_milliseconds, as_seconds, whole_milliseconds
-from housemark.operators.ordered import Running, running
+from housemark.operators.ordered import KEY_ROWS, Running, running
 from housemark.operators.percentiles import exact_median, exact_percentiles
 from housemark.operators.summaries import ascending
 from housemark.schemas import (
@@ -51,6 +51,7 @@ def cumulative_time(log: DataFrame, bounded: bool = False) -> DataFrame:
         ["order"],
         Running(total=("__ms", "__total")),
         bounded,
+        key_rows=KEY_ROWS,
     )
     return summed.withColumn("cumulative_time", as_seconds(F.col("__total"))).drop(
         "__ms", "__total"

@@ -15,7 +15,7 @@ from housemark.functions.runs import (
     single_node_label,
     whole_milliseconds,
 )
-from housemark.operators.ordered import Running, running
+from housemark.operators.ordered import KEY_ROWS, Running, running
 from housemark.schemas import ONE_RUN, RUN_LOG, RUN_RECORD
 
 
@@ -52,6 +52,7 @@ def order_stages(records: DataFrame, bounded: bool = False) -> DataFrame:
         ["stage_time", "stage_name"],
         Running(number="order", previous=("__at", "__before")),
         bounded,
+        key_rows=KEY_ROWS,
     )
     delta = whole_milliseconds(F.col("__at") - F.col("__before"))
     return numbered.withColumns(

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from housemark.operators.ordered import Running, running
+from housemark.operators.ordered import KEY_ROWS, Running, running
 from housemark.operators.run_log import derive_configuration
 from housemark.schemas import (
     EXECUTION_ORDER,
@@ -136,6 +136,7 @@ def run_records(spark: SparkSession, folder: str) -> DataFrame:
         ["user_id"],
         ["ts", "event_id"],
         Running(number="number"),
+        key_rows=KEY_ROWS,
     )
     slots = derive_configuration(literal_rows(spark, _SETTINGS, _SETTINGS_SCHEMA))
     size = len(EXECUTION_ORDER)

@@ -38,6 +38,15 @@ def test_each_alone(events, want):
     assert computed(events, 30, want) == computed(events, want=want, bounded=True)
 
 
+@pytest.mark.parametrize("rows", [10, 1_000_000])
+def test_counted_keys_change_nothing(events, rows):
+    frame = running(events, ["user"], ["at"], WANT, key_rows=rows)
+    wanted = running(events, ["user"], ["at"], WANT, ranges=7)
+    assert sorted(map(str, frame.collect())) == sorted(map(str, wanted.collect()))
+    in_ranges = "FileScan" in frame._jdf.queryExecution().executedPlan().toString()
+    assert in_ranges == (rows == 10)
+
+
 POSITIONS = {
     "rising": "id",
     "all equal": "7",

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from housemark.operators import percentiles
 from housemark.operators.percentiles import exact_median, exact_percentiles
 
 POINTS = {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p99": 0.99, "p100": 1.0}
@@ -43,7 +44,9 @@ def made(spark, rows):
 
 @pytest.mark.parametrize("resolution", [1, 256])
 @pytest.mark.parametrize("threshold", ["10MB", "-1"])
-def test_against_brute_force(spark, resolution, threshold):
+@pytest.mark.parametrize("key_rows", [3, 1_000_000])
+def test_against_brute_force(spark, monkeypatch, resolution, threshold, key_rows):
+    monkeypatch.setattr(percentiles, "KEY_ROWS", key_rows)
     draw = random.Random(5)
     rows = []
     for key in ["a", "b", None]:
@@ -72,7 +75,9 @@ def test_special_values_sort_as_in_spark(spark):
     assert found["y"].p0 == 2.0
 
 
-def test_hot_value_in_a_hot_group(spark):
+@pytest.mark.parametrize("key_rows", [100, 1_000_000])
+def test_hot_value_in_a_hot_group(spark, monkeypatch, key_rows):
+    monkeypatch.setattr(percentiles, "KEY_ROWS", key_rows)
     frame = spark.range(200_000).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"),
         F.when(F.col("id") % 2 == 0, 250000.0).otherwise(F.col("id") * 1.25).alias("v"),

@@ -46,8 +46,8 @@ def test_log_windows_are_partitioned(spark):
     log = order_stages(testdata.run_records(spark, FOLDER), bounded=True)
     text = plan(run_analytics.enrich(log, bounded=True))
     assert "SinglePartition" not in text
-    # Three literal tables, and what keys take over that span ranges.
-    assert text.count("BroadcastHashJoin") == 4
+    # Three literal tables.
+    assert text.count("BroadcastHashJoin") == 3
 
 
 def test_previews_keep_few_rows_per_task(spark):

@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and formats inferred from what they find.
 
 Credentials that the patterns find are the labelled examples: for each kind a probabilistic
-automaton is inferred from them (``grammar``). Every run of credential characters outside
-the patterns' spans is then scored: how much likelier its best automaton makes it than
+automaton is inferred from them (``grammar``). Every run of credential characters, or what the
+patterns' spans leave of it, is then scored: how much likelier its best automaton makes it than
 ordinary runs of such characters do. Runs above ``LEAST_GAIN`` become spans of the kind
 ``learned``.
 
@@ -33,7 +33,8 @@ KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"api")
 LEAST_ASSIGNED = 12
 ACCESS = re.compile(rb"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(rb"[0-9a-f]{16,}")
-RUN = re.compile(rb"[A-Za-z0-9+/_.=-]{12,}")
+LEAST_RUN = 12
+RUN = re.compile(rb"[A-Za-z0-9+/_.=-]{%d,}" % LEAST_RUN)
 RUN_SYMBOLS = 69
 
 EXAMPLES = 500
@@ -41,6 +42,7 @@ LEAST_GAIN = 20.0
 MASK = "[SECRET]"
 
 _CACHED = 200_000
+_LONGEST_CACHED = 256
 _SPANS = T.ArrayType(
     T.StructType()
     .add("kind", T.StringType())
@@ -70,9 +72,19 @@ def base_spans(raw: bytes, runs: list[tuple[int, int]]) -> list[tuple[Found, tup
 
 
 def _outside(runs: list[tuple[int, int]], found: list[Found]) -> list[tuple[int, int]]:
+    """What spans leave of the runs, as far as it is long enough: one sweep over both."""
     if not found:
         return runs
-    return [(a, b) for a, b in runs if not any(s < b and a < e for _, s, e in found)]
+    spans = sorted((s, e) for _, s, e in found)
+    left, at, covered = [], 0, 0
+    for a, b in runs:
+        while at < len(spans) and spans[at][0] < b:
+            start, end = spans[at]
+            left.append((max(a, covered), start))
+            covered = max(covered, end)
+            at += 1
+        left.append((max(a, covered), b))
+    return [(a, b) for a, b in left if b - a >= LEAST_RUN]
 
 
 def _runs(raw: bytes) -> list[tuple[int, int]]:
@@ -145,11 +157,14 @@ def spans(raw: bytes, gain: Gain, known: dict[bytes, float], least_gain: float)
     found = [x for x, _ in base_spans(raw, runs)]
     for a, b in _outside(runs, found):
         value = raw[a:b]
-        if value not in known:
+        own = known.get(value)
+        if own is None:
+            own = gain(value.decode())
             if len(known) >= _CACHED:
                 known.clear()
-            known[value] = gain(value.decode())
-        if known[value] >= least_gain:
+            if len(value) <= _LONGEST_CACHED:
+                known[value] = own
+        if own >= least_gain:
             found.append(("learned", a, b))
     found.sort(key=lambda x: (x[1], KINDS.index(x[0])))
     if found and not raw.isascii():

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -97,3 +98,49 @@ def test_odd_rows(odd, mask):
 
 def test_no_rows(none):
     assert secrets.with_spans(none).collect() == []
+
+
+def test_what_spans_leave_of_runs_in_random_texts():
+    """Each stretch of run characters that no span covers is scored, and no other."""
+    rng = random.Random(8)
+    parts = ["password=", "AKIA", "ABCDEFGHIJ0123", "0123456789abcdef", "ghijklmnopqr", "x", " ", "/", "Z9.Y8=X7+W6-", "é"]
+    for _ in range(3000):
+        text = "".join(rng.choices(parts, k=rng.randrange(12)))
+        scored = []
+        found = secrets.spans(text.encode(), lambda x: scored.append(x) or -1.0, {}, 0.0)
+        inside = {m.start() + i for m in re.finditer(r"[A-Za-z0-9+/_.=-]{12,}", text) for i in range(len(m[0]))}
+        for _, start, end in found:
+            inside -= set(range(start, end))
+        marks = "".join(c if i in inside else " " for i, c in enumerate(text))
+        # A span that begins where another stretch ends cuts it, also without a gap.
+        wanted = {x for x in marks.split(" ") if len(x) >= 12}
+        assert set(scored) == wanted, text
+
+
+def test_the_rest_of_a_run_is_scored():
+    text = "0123456789abcdef.GHIJKLMNOPQRSTUVWXYZ and GHIJKLMNOPQRST/0123456789abcdef0"
+    found = secrets.spans(text.encode(), lambda x: 1.0, {}, 0.0)
+    assert [x for x in found if x[0] == "learned"] == [("learned", 16, 37), ("learned", 42, 57)]
+
+
+def test_many_spans_and_runs_in_a_long_text():
+    """Time grows with the text: three megabytes of runs between hexadecimal spans."""
+    text = b" ".join([b"0123456789abcdef", b"ordinarywordsinarun"] * 85_000)
+    started = time.perf_counter()
+    found = secrets.spans(text, lambda x: 1.0, {}, 0.0)
+    assert len(found) == 170_000 and time.perf_counter() - started < 20
+
+
+def test_whole_table_equals_a_plain_scan(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    gain = secrets.learn(secrets.examples(docs))
+    for row in secrets.with_spans(docs).collect():
+        text = row.text or ""
+        wanted = slow(text)
+        covered = {i for _, a, b in wanted for i in range(a, b)}
+        for m in re.finditer("[A-Za-z0-9+/_.=-]{12,}", text):
+            free = "".join(" " if i in covered else text[i] for i in range(*m.span()))
+            for part in re.finditer("[^ ]{12,}", free):
+                if gain(part[0]) >= secrets.LEAST_GAIN:
+                    wanted.append(("learned", m.start() + part.start(), m.start() + part.end()))
+        assert sorted(map(tuple, row.secrets)) == sorted(wanted)

@@ -65,12 +65,11 @@ def quality_rules_sql() -> str:
     def factors(source: str) -> str:
         steps = []
         columns = f"{group}, " + ", ".join(f"m{i}" for i in range(n))
-        sums = {
-            (i, j): f"(s{i}{j}"
-            + (f" + {quality_rules.SPREAD_ROWS * quality_rules.SPREADS[i] ** 2!r}" if i == j else "")
-            + f") / (n + {quality_rules.SPREAD_ROWS!r})"
-            for i, j in pairs
-        }
+        weight = f"(n + {quality_rules.SPREAD_ROWS!r})"
+        sums = {(i, j): f"s{i}{j} / {weight}" for i, j in pairs}
+        for i, spread in enumerate(quality_rules.SPREADS):
+            own = f"(s{i}{i} + {quality_rules.SPREAD_ROWS * spread**2!r}) / {weight}"
+            sums[i, i] = f"greatest({own}, {quality_rules.LEAST_PART * spread**2!r})"
         inner = source
         for i, j in sorted(pairs, key=lambda x: (x[1], x[0])):
             rest = sums[i, j] + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
@@ -128,7 +127,7 @@ WITH texts AS MATERIALIZED (
          length(array_to_string(w, ''))::BIGINT AS word_chars,
          len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
-         coalesce(r.n, 0)::BIGINT AS n_repeat_words
+         coalesce(r.n, 0)::BIGINT AS n_repeat_words, md5(text) AS text_key
   FROM (SELECT *, list_filter(string_split(text, chr(10)),
                               lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
         FROM texts) t
@@ -138,7 +137,9 @@ WITH texts AS MATERIALIZED (
             OR 100 * n_repeat_words > {quality_rules.MOST_REPEATED_PERCENT} * n_words AS base_failed,
          {vector} FROM counted
 ), vectors AS MATERIALIZED (
-  SELECT lang, source, {", ".join(f"x{i}" for i in range(n))} FROM judged WHERE NOT base_failed
+  SELECT lang, source, {", ".join(f"x{i}" for i in range(n))}
+  FROM (SELECT DISTINCT lang, source, text_key, {", ".join(f"x{i}" for i in range(n))}
+        FROM judged WHERE NOT base_failed)
 ), {", ".join(parts)}
 SELECT r.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND coalesce(({distance}) / {quality_rules.CORRECTION}

@@ -19,7 +19,7 @@ source; they are broadcast only if they were counted to be few.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from housemark.llm.tables import WHITE, broadcast_if_few, words_column
+from housemark.llm.tables import WHITE, broadcast_if_few, set_aside, words_column
 from housemark.sources.scratch import stage
 
 WINDOW = 3
@@ -51,15 +51,16 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     for a null text. Windows are compared by 64-bit hashes. ``_text_hash`` tells equal texts
     for ``with_verdict``, which drops it. Columns of these names are replaced.
     """
-    docs = docs.drop(
-        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "_text_hash"
-    )
-    names = [c for c in docs.columns if c != "base_failed"]
-    whole = F.coalesce(F.col(text), F.lit(""))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    made = ["_text_hash", *counts, "base_failed"]
+    docs = docs.drop(*(c for c in made if c != text))
+    own = F.col(f"own{docs.columns.index(text)}")
+    docs, names = set_aside(docs)
+    whole = F.coalesce(own, F.lit(""))
     split = docs.select(
-        *names,
+        *docs.columns,
         F.xxhash64(whole).alias("_text_hash"),
-        words_column(F.col(text)).alias("_words"),
+        words_column(own).alias("_words"),
         F.filter(F.split(whole, "\n"), lambda x: F.btrim(x, F.lit(WHITE)) != "").alias("_lines"),
     )
     counted = split.withColumns(
@@ -93,8 +94,8 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_repeat_words",
             F.when(F.col("_sorted").isNotNull(), F.size(covered)).otherwise(0).cast("long"),
         )
-        .drop("_sorted")
         .withColumn("base_failed", few | many)
+        .select(*names, *made)
     )
 
 
@@ -148,12 +149,17 @@ def with_verdict(
             "_group", *_X, F.floor(64 * F.log1p(_distance())).alias("bin")
         )
         estimate = broadcast_if_few(stage(_factors(_moments(binned)), "estimate"))
-    measured = docs.select("*", group, *_vector()).join(estimate, "_group", "left")
-    distance = F.when(~F.col("base_failed"), _distance() / CORRECTION)
-    return measured.withColumn("distance", distance).select(
-        *(c for c in docs.columns if c != "_text_hash"),
+    kept = docs.drop("_text_hash")
+    # The caller's columns ride along in a struct, out of the way of those of the estimates.
+    measured = docs.select(
+        F.struct(*kept.columns).alias("_row"), (~F.col("base_failed")).alias("_passed"), group, *_vector()
+    )
+    distance = F.when(F.col("_passed"), _distance() / CORRECTION).alias("distance")
+    found = measured.join(estimate, "_group", "left").select("_row", "_passed", distance)
+    return found.select(
+        *(F.col("_row")[c].alias(c) for c in kept.columns),
         "distance",
-        (~F.col("base_failed") & (F.col("distance") <= most_distance)).alias("kept"),
+        (F.col("_passed") & (F.col("distance") <= most_distance)).alias("kept"),
     )
 
 

@@ -12,6 +12,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def set_aside(docs: DataFrame) -> tuple[DataFrame, list[F.Column]]:
+    """``docs`` with columns named ``own0``, ``own1`` ..., and the columns under their names.
+
+    An operator that adds columns of its own to the renamed ones meets none of the caller's.
+    """
+    places = [f"own{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*places), [F.col(p).alias(c) for p, c in zip(places, docs.columns)]
+
+
 def broadcast_if_few(frame: DataFrame, most_rows: int = 10_000) -> DataFrame:
     """``frame``, marked for broadcast if it was counted to have at most ``most_rows`` rows.
 

@@ -2,11 +2,12 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from housemark.llm import quality_rules
+from housemark.llm import oracle, quality_rules
 
 
 def slow(text):
@@ -120,5 +121,41 @@ def test_odd_rows(odd):
     assert not any(r.kept for r in found if r.base_failed)
 
 
+HELPERS = [f"{c}{i}" for c in "xm" for i in range(4)] + [f"l{i}{j}" for i in range(4) for j in range(i + 1)]
+HELPERS += "_group _words _lines _windows _sorted _text_hash _row _passed _near own0 own3 bin n t0 p00 s00 lang source".split()
+
+
+def test_helper_names_in_the_input(spark, odd):
+    names = [c for c in HELPERS if c not in odd.columns]
+    own = odd.selectExpr("*", *(f"'own {c}' AS {c}" for c in names))
+    counted = quality_rules.with_statistics(own)
+    found = quality_rules.with_verdict(counted)
+    added = ["n_words", "word_chars", "n_dup_lines", "n_repeat_words"]
+    assert set(found.columns) == {*odd.columns, *names, *added} - {"_text_hash"}
+    plain = quality_rules.with_verdict(quality_rules.with_statistics(odd))
+    assert sorted(map(str, found.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
+    kept = [c for c in names if c != "_text_hash"]
+    assert found.select(*kept).distinct().collect() == [tuple(f"own {c}" for c in kept)]
+
+
+def test_sql_is_the_same_estimator(spark, tmp_path):
+    """Also on many copies of one text, and on a table that is repeated."""
+    rng = random.Random(12)
+    texts = [text_of(rng) + " &" * (i % 5) + "\nsame line" * (i % 3) for i in range(220)]
+    texts += [" ".join(["copied"] * 20 + [str(i) for i in range(60)])] * 5000
+    texts += [text_of(rng, "&&&") for _ in range(12)]
+    for times in (1, 20):
+        rows = [(i, t, "en", "a" if i % 3 else None) for i, t in enumerate(texts[:220] * times + texts[220:])]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+        folder = tmp_path / str(times)
+        docs.coalesce(1).write.parquet(str(folder))
+        connection = duckdb.connect()
+        connection.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/*.parquet')")
+        wanted = {r[0]: r[-1] for r in connection.execute(oracle.quality_rules_sql()).fetchall()}
+        found = quality_rules.with_verdict(quality_rules.with_statistics(docs))
+        found = {r.doc_id: r.kept for r in found.select("doc_id", "kept").collect()}
+        assert found == wanted and 0 < sum(not k for k in found.values()) < 5100
+
+
 def test_no_rows(none):
     assert quality_rules.with_verdict(quality_rules.with_statistics(none)).collect() == []

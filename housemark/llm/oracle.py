@@ -55,6 +55,7 @@ def quality_rules_sql() -> str:
     n = len(quality_rules.SPREADS)
     pairs = [(i, j) for i in range(n) for j in range(i + 1)]
     group = "lang, source"
+    keys = "lang, source, start"
     join = "r.lang IS NOT DISTINCT FROM e.lang AND r.source IS NOT DISTINCT FROM e.source"
     counts = ["word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     vector = ", ".join(
@@ -64,7 +65,7 @@ def quality_rules_sql() -> str:
 
     def factors(source: str) -> str:
         steps = []
-        columns = f"{group}, " + ", ".join(f"m{i}" for i in range(n))
+        columns = f"{keys}, " + ", ".join(f"m{i}" for i in range(n))
         weight = f"(n + {quality_rules.SPREAD_ROWS!r})"
         sums = {(i, j): f"s{i}{j} / {weight}" for i, j in pairs}
         for i, spread in enumerate(quality_rules.SPREADS):
@@ -76,7 +77,21 @@ def quality_rules_sql() -> str:
             value = f"sqrt({rest})" if i == j else f"({rest}) / l{j}{j}"
             inner = f"(SELECT *, {value} AS l{i}{j} FROM {inner})"
             steps.append(f"l{i}{j}")
-        return f"SELECT {columns}, {', '.join(steps)} FROM {inner}"
+        root = " + ".join(f"ln(l{i}{i})" for i in range(n))
+        return f"SELECT {columns}, {', '.join(steps)}, {root} AS log_root FROM {inner}"
+
+    def moments(near: str) -> str:
+        return (
+            f"(SELECT {keys}, n, "
+            + ", ".join(f"t{i} / n AS m{i}" for i in range(n))
+            + ", "
+            + ", ".join(f"p{i}{j} - t{i} * t{j} / n AS s{i}{j}" for i, j in pairs)
+            + f" FROM (SELECT {keys}, count(*)::DOUBLE AS n, "
+            + ", ".join(f"sum(x{i}) AS t{i}" for i in range(n))
+            + ", "
+            + ", ".join(f"sum(x{i} * x{j}) AS p{i}{j}" for i, j in pairs)
+            + f" FROM {near} GROUP BY {keys}))"
+        )
 
     solved: list[str] = []
     for i in range(n):
@@ -84,33 +99,30 @@ def quality_rules_sql() -> str:
         solved.append(f"({rest} / l{i}{i})")
     distance = " + ".join(f"{y} * {y}" for y in solved)
     start = (
-        f"(SELECT {group}, 0::DOUBLE AS n, "
+        f"(SELECT {group}, 0 AS start, 0::DOUBLE AS n, "
         + ", ".join(f"quantile_cont(x{i}, 0.5) AS m{i}" for i in range(n))
         + ", "
         + ", ".join(f"0::DOUBLE AS s{i}{j}" for i, j in pairs)
         + f" FROM vectors GROUP BY {group})"
     )
-    parts = [f"estimate0 AS MATERIALIZED ({factors(start)})"]
+    everything = moments("(SELECT *, 1 AS start FROM vectors)")
+    parts = [f"estimate0 AS MATERIALIZED ({factors(start)} UNION ALL {factors(everything)})"]
     for step in range(quality_rules.STEPS):
-        moments = (
-            f"(SELECT {group}, n, "
-            + ", ".join(f"t{i} / n AS m{i}" for i in range(n))
-            + ", "
-            + ", ".join(f"p{i}{j} - t{i} * t{j} / n AS s{i}{j}" for i, j in pairs)
-            + f" FROM (SELECT {group}, count(*)::DOUBLE AS n, "
-            + ", ".join(f"sum(x{i}) AS t{i}" for i in range(n))
-            + ", "
-            + ", ".join(f"sum(x{i} * x{j}) AS p{i}{j}" for i, j in pairs)
-            + f" FROM near{step} GROUP BY {group}))"
-        )
         parts += [
-            f"binned{step} AS MATERIALIZED (SELECT r.*, floor(64 * ln(1 + ({distance}))) AS bin "
+            f"binned{step} AS MATERIALIZED (SELECT r.*, start, floor(64 * ln(1 + ({distance}))) AS bin "
             f"FROM vectors r JOIN estimate{step} e ON {join})",
-            f"near{step} AS MATERIALIZED (SELECT r.* FROM binned{step} r JOIN (SELECT {group}, "
+            f"near{step} AS MATERIALIZED (SELECT r.* FROM binned{step} r JOIN (SELECT {keys}, "
             f"quantile_cont(bin, {quality_rules.KEPT_PART}) AS most FROM binned{step} "
-            f"GROUP BY {group}) e ON {join} AND bin <= most)",
-            f"estimate{step + 1} AS MATERIALIZED ({factors(moments)})",
+            f"GROUP BY {keys}) e ON {join} AND r.start = e.start AND bin <= most)",
+            f"estimate{step + 1} AS MATERIALIZED ({factors(moments(f'near{step}'))})",
         ]
+    every = " UNION ALL ".join(
+        f"SELECT *, {step} AS step FROM estimate{step + 1}" for step in range(quality_rules.STEPS)
+    )
+    parts.append(
+        f"least AS MATERIALIZED (SELECT DISTINCT ON ({group}) * FROM ({every}) "
+        f"ORDER BY {group}, round(log_root, 9), step, start)"
+    )
     return rf"""
 WITH texts AS MATERIALIZED (
   SELECT row_number() OVER () AS row, doc_id, lang, source, {_WORDS} AS w,
@@ -144,7 +156,7 @@ WITH texts AS MATERIALIZED (
 SELECT r.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND coalesce(({distance}) / {quality_rules.CORRECTION}
                                     <= {quality_rules.MOST_DISTANCE}, false) AS kept
-FROM judged r LEFT JOIN estimate{quality_rules.STEPS} e ON {join}"""
+FROM judged r LEFT JOIN least e ON {join}"""
 
 
 def filter_audit_sql() -> str:

@@ -3,8 +3,10 @@
 A document is described by four ratios to its words, on a logarithmic scale in whole
 thousandths: letters in a word, symbols, repeated lines, words in repeated windows. For each
 language and source the minimum covariance determinant is sought by concentration steps:
-from medians and fixed spreads, keep the ``KEPT_PART`` of rows nearest by Mahalanobis
-distance, take their mean and covariance, and repeat. A document is rejected if its squared
+keep the ``KEPT_PART`` of rows nearest by Mahalanobis distance, take their mean and covariance,
+and repeat, once from medians and fixed spreads and once from the mean and covariance of all
+rows. Of the estimates of all steps from both starts that of the least determinant is taken. A
+document is rejected if its squared
 distance, after the usual correction for the part kept, is above ``MOST_DISTANCE``. Equal texts
 of a group count once in the estimates, so that copies cannot fill the part kept.
 
@@ -16,6 +18,8 @@ dealt out by their hash. The estimates have one row for each language and
 source; they are broadcast only if they were counted to be few.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,17 +142,22 @@ def with_verdict(
     group = F.struct(F.col(lang).alias("lang"), F.col(source).alias("source")).alias("_group")
     passed = docs.where(~F.col("base_failed")).select(group, "_text_hash", *_vector())
     rows = stage(passed.distinct().drop("_text_hash"), "vectors")
-    start = rows.groupBy("_group").agg(
+    medians = rows.groupBy("_group").agg(
+        F.lit(0).alias("start"),
         F.lit(0.0).alias("n"),
         *(F.percentile(x, F.lit(0.5)).alias(f"m{i}") for i, x in enumerate(_X)),
         *(F.lit(0.0).alias(f"s{i}{j}") for i, j in _PAIRS),
     )
-    estimate = broadcast_if_few(stage(_factors(start), "estimate"))
-    for _ in range(steps):
+    everything = _moments(rows.withColumns({"start": F.lit(1), "bin": F.lit(0)}))
+    estimate = broadcast_if_few(stage(_factors(medians.unionByName(everything)), "estimate"))
+    reached = []
+    for step in range(steps):
         binned = rows.join(estimate, "_group").select(
-            "_group", *_X, F.floor(64 * F.log1p(_distance())).alias("bin")
+            "_group", "start", *_X, F.floor(64 * F.log1p(_distance())).alias("bin")
         )
         estimate = broadcast_if_few(stage(_factors(_moments(binned)), "estimate"))
+        reached.append(estimate.withColumn("step", F.lit(step)))
+    estimate = broadcast_if_few(stage(_least(reached), "estimate"))
     kept = docs.drop("_text_hash")
     # The caller's columns ride along in a struct, out of the way of those of the estimates.
     measured = docs.select(
@@ -163,6 +172,16 @@ def with_verdict(
     )
 
 
+def _least(estimates: list[DataFrame]) -> DataFrame:
+    """Each group's estimate of least determinant; of equal ones the earliest."""
+    every = reduce(DataFrame.unionByName, estimates)
+    names = [c for c in every.columns if c not in ("_group", "start", "step", "log_root")]
+    order = F.struct(F.round("log_root", 9), "step", "start")
+    return (
+        every.groupBy("_group").agg(F.min_by(F.struct(*names), order).alias("e")).select("_group", "e.*")
+    )
+
+
 def _vector() -> list[Column]:
     words = F.greatest(F.col("n_words"), F.lit(1))
     counts = ["word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -172,12 +191,13 @@ def _vector() -> list[Column]:
 
 
 def _moments(binned: DataFrame) -> DataFrame:
-    """Count, means and summed products of deviations of each group's nearest rows.
+    """Count, means and summed products of deviations of the nearest rows by group and start.
 
     Sums are taken for each bin of distance first, and then of the bins up to the one that
     holds the row at ``KEPT_PART`` of the group: no row meets the others of its group.
     """
-    bins = binned.groupBy("_group", "bin").agg(
+    keys = ["_group", "start"]
+    bins = binned.groupBy(*keys, "bin").agg(
         F.count("*").cast("double").alias("n"),
         *(F.sum(F.col(x).cast("double")).alias(f"t{i}") for i, x in enumerate(_X)),
         *(
@@ -185,18 +205,18 @@ def _moments(binned: DataFrame) -> DataFrame:
             for i, j in _PAIRS
         ),
     )
-    group = Window.partitionBy("_group")
+    group = Window.partitionBy(*keys)
     nearer = group.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     last = F.floor((F.sum("n").over(group) - 1) * KEPT_PART)
     near = bins.withColumn(
         "_near", F.coalesce(F.sum("n").over(nearer), F.lit(0.0)) <= last
     ).where("_near")
-    sums = near.groupBy("_group").agg(
-        *(F.sum(c).alias(c) for c in bins.columns if c not in ("_group", "bin"))
+    sums = near.groupBy(*keys).agg(
+        *(F.sum(c).alias(c) for c in bins.columns if c not in (*keys, "bin"))
     )
     n = F.col("n")
     return sums.select(
-        "_group",
+        *keys,
         "n",
         *((F.col(f"t{i}") / n).alias(f"m{i}") for i in range(_N)),
         *(
@@ -207,7 +227,7 @@ def _moments(binned: DataFrame) -> DataFrame:
 
 
 def _factors(moments: DataFrame) -> DataFrame:
-    """Means and the Cholesky factor of each group's covariance.
+    """Means and the Cholesky factor of each group's covariance, and half its log determinant.
 
     Variances have a floor that does not shrink with the number of rows; to raise them keeps
     the matrix positive definite.
@@ -226,7 +246,10 @@ def _factors(moments: DataFrame) -> DataFrame:
             rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
         found = found.withColumn(f"l{i}{j}", F.sqrt(rest) if i == j else rest / F.col(f"l{j}{j}"))
     means = [f"m{i}" for i in range(_N)]
-    return found.select("_group", *means, *(f"l{i}{j}" for i, j in _PAIRS))
+    half = sum((F.log(f"l{i}{i}") for i in range(1, _N)), F.log("l00"))
+    return found.select(
+        "_group", "start", *means, *(f"l{i}{j}" for i, j in _PAIRS), half.alias("log_root")
+    )
 
 
 def _distance() -> Column:

@@ -17,7 +17,7 @@ precedes a piece comes from running totals of the piece counts, themselves in ra
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from housemark.llm.tables import words_column
+from housemark.llm.tables import set_aside, words_column
 from housemark.operators.ordered import Running, running
 from housemark.sources.scratch import stage
 
@@ -30,7 +30,10 @@ ROWS_PER_PIECE = 1000
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` plus ``size``, its words, and ``text_hash``; a null text has no words."""
+    """``docs`` plus ``size``, its words, and ``text_hash``; a null text has no words.
+
+    Columns of these names are replaced, all others stay; an empty table gives an empty one.
+    """
     return docs.withColumns(
         {"size": F.size(words_column(F.col(text))).cast("long"), "text_hash": F.xxhash64(text)}
     )
@@ -50,13 +53,26 @@ def with_copies(
 
     Null is a source of its own. A source without words has target 0 and no copies;
     documents without words in other sources take part. Reruns agree: order and offset come
-    from hashes of ``seed`` with ids and sources, and rows of equal id, size and text are
-    interchangeable. Columns of these names are replaced. Reads ``docs`` twice: stage what
-    is costly to compute.
+    from hashes of ``seed`` with ids and sources, without an id of all columns, and rows of equal
+    id, size and text are interchangeable. Rows of one id, source and size are numbered by one
+    task, as are rows without an id that are equal in every column. Columns of these names are replaced; an empty table gives an empty one.
+    Reads ``docs`` twice: stage what is costly to compute.
     """
     docs = docs.drop("source_size", "target", "copies")
-    key = F.concat_ws(":", F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
-    rows = docs.withColumn("_source", F.struct(F.col(source).alias("name")))
+    owns = {c: f"own{i}" for i, c in enumerate(docs.columns)}
+    docs, names = set_aside(docs)
+    # Rows without an id come apart by all of their columns.
+    number = F.coalesce(
+        F.col(owns[doc_id]).cast("string"), F.concat(F.lit(":"), F.xxhash64(*docs.columns))
+    )
+    key = F.concat_ws(":", F.lit(seed), number)
+    rows = docs.withColumns(
+        {
+            "_source": F.struct(F.col(owns[source]).alias("name")),
+            "size": F.col(owns["size"]),
+            "_text_hash": F.col(owns["text_hash"]),
+        }
+    )
     slices = stage(
         rows.groupBy("_source", "size")
         .agg(F.count("*").alias("_rows"))
@@ -84,11 +100,11 @@ def with_copies(
         .join(targets, F.col("_source.name").eqNullSafe(F.col("_name")))
         .select(*piece, "_before", "_of", "source_size", "target", "_expected", "_offset")
     )
-    inside = Window.partitionBy(*piece).orderBy("_tie", "text_hash")
+    inside = Window.partitionBy(*piece).orderBy("_tie", "_text_hash")
     numbered = cut.withColumn("_number", F.row_number().over(inside)).join(before, piece)
     rank = F.col("_before") + F.col("_number")
     copies = crossed(rising_and_falling(rank, F.col("_of")), F.col("_expected"), F.col("_offset"))
-    return numbered.select(*docs.columns, "source_size", "target", copies.alias("copies"))
+    return numbered.select(*names, "source_size", "target", copies.alias("copies"))
 
 
 def _drawn(digest: str | Column) -> Column:

@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from housemark.llm import mixing
 
@@ -99,5 +100,36 @@ def test_odd_rows(odd):
     assert {r.source_size for r in found if r.source is None} == {words}
 
 
+HELPERS = "_tie _source _slice _slices _number _of _before _expected _offset _rows _upto _name _text_hash own0 own2".split()
+
+
+def test_helper_names_in_the_input(odd):
+    own = odd.selectExpr("*", *(f"'own {c}' AS {c}" for c in HELPERS))
+    found = mixing.with_copies(mixing.measured(own))
+    made = ["size", "text_hash", "source_size", "target", "copies"]
+    kept = [c for c in odd.columns if c not in made]
+    assert sorted(found.columns) == sorted({*kept, *HELPERS, *made})
+    plain = mixing.with_copies(mixing.measured(odd))
+    assert found.select(*HELPERS).distinct().collect() == [tuple(f"own {c}" for c in HELPERS)]
+    known = "doc_id IS NOT NULL"
+    rows = [sorted(map(str, x.select("doc_id", "copies", "target").where(known).collect())) for x in (found, plain)]
+    assert rows[0] == rows[1]
+
+
+def test_rows_without_an_id_are_numbered_by_many_tasks(spark):
+    """Equal sizes and null ids: the largest piece is a small part of the table."""
+    rows = spark.range(60_000).selectExpr("CAST(NULL AS bigint) AS doc_id", "'a' AS source", "concat('w', id) AS text")
+    found = mixing.with_copies(mixing.measured(rows), rows_per_piece=1000)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sum(sizes) == 60_000 and max(sizes) < 6_000
+    assert found.agg(F.sum("copies")).first()[0] == 90_000
+
+
 def test_no_rows(none):
     assert mixing.with_copies(mixing.measured(none)).collect() == []

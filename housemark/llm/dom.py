@@ -5,16 +5,16 @@ import re
 from collections import Counter
 
 # Elements by how they are read.
-RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript"}
-HIDDEN = RAW | {"head", "template", "svg", "math", "canvas", "object", "audio", "video", "select",
-                "button", "datalist", "map", "dialog"}
+RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
+HIDDEN = RAW | {"head", "template", "svg", "canvas", "audio", "video", "select", "button",
+                "datalist", "annotation", "annotation-xml"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param",
         "source", "track", "wbr", "frame", "keygen"}
 BLOCKS = {"html", "head", "body", "main", "article", "section", "nav", "aside", "header", "footer",
           "div", "p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd",
           "table", "thead", "tbody", "tfoot", "caption", "tr", "td", "th", "blockquote", "pre",
           "figure", "figcaption", "form", "fieldset", "legend", "address", "center", "details",
-          "summary", "hgroup", "menu", "search", "dir"} | HIDDEN
+          "summary", "hgroup", "menu", "search", "dir", "dialog"} | HIDDEN
 #: An element that a start tag ends, if it is open inside the element named second.
 ENDED_BY = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -25,8 +25,7 @@ ENDED_BY = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "body": ({"head"}, set()),
 }
-KEEPS_PARAGRAPH_OPEN = RAW | {"svg", "math", "canvas", "object", "audio", "video", "select",
-                              "button", "template", "datalist", "map"}
+KEEPS_PARAGRAPH_OPEN = HIDDEN - {"head"}
 
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))"
@@ -136,7 +135,8 @@ class Page:
     def _flush(self) -> None:
         if not self._text:
             return
-        text = _SPACE.sub(" ", html.unescape("".join(t for t, _ in self._text))).strip()
+        # A reference does not go on behind markup, so each run is decoded by itself.
+        text = _SPACE.sub(" ", "".join(html.unescape(t) for t, _ in self._text)).strip()
         if text:
             linked = sum(len(t) for t, links in self._text if links)
             self.pieces.append((self._open[-1], text, min(linked, len(text))))

@@ -8,8 +8,8 @@ probability of being content, given the whole page. Text of scripts, styles and
 never read.
 
 Labelled pages are the examples of ``labelled_pages`` and, from the table itself, a bounded
-sample of the pages with exactly one article element: ``SAMPLE`` pages of smallest hash of
-their address and source.
+sample of the pages with exactly one article element: the ``SAMPLE`` different ones of smallest
+hash of their address and source.
 """
 
 import math
@@ -25,13 +25,15 @@ from housemark.llm.dom import Page
 from housemark.llm.labelled_pages import NAMES, PAGES
 
 SAMPLE = 400
-#: All sampled pages together weigh at most this part of the weight of the examples.
+#: All sampled pages together weigh at most this part of the weight of the examples. They are
+#: often of one make: from a fifth on, a page of another make kept a form.
 SAMPLE_SHARE = 0.1
 SMOOTHING = 0.2
 #: Letters from which on an element has more text.
 AMOUNTS = (1, 25, 120)
 
 _FEATURES = 4
+_ONE_ARTICLE = r"(?i)<article[\s/>]"
 _KIND_OF = {name: kind for kind, names in NAMES.items() for name in names}
 
 Counts = dict[tuple, float]
@@ -70,12 +72,16 @@ def kind_of(names: str) -> str:
 
 
 def article_labels(page: Page) -> list[int] | None:
-    """States by the page's only article element, or none if it has none or several."""
+    """States by the page's only article element, or none if it has none or several.
+
+    What is set apart in it by its tag or by what its names speak of is no content.
+    """
     if page.tags.count("article") != 1:
         return None
     states = [0] * len(page.tags)
     for node in range(1, len(states)):
-        apart = page.tags[node] in ("nav", "aside", "form", "footer")
+        apart = page.tags[node] in ("nav", "aside", "form", "footer", "dialog")
+        apart = apart or kind_of(page.names[node]) not in ("", "content")
         inside = states[page.parents[node]] and not apart
         states[node] = int(page.tags[node] == "article" or inside)
     return states
@@ -184,33 +190,42 @@ def _sum(a: float, b: float) -> float:
 
 
 def train(pages: DataFrame, url: str, source: str, sample: int = SAMPLE) -> Model:
-    """Model of the example pages and of at most ``sample`` pages of the table.
+    """Model of the example pages and of at most ``sample`` different pages of the table.
 
+    These are the pages of smallest hash among those with exactly one article element.
     What comes to the driver is a count for each move and value: tags and kinds of names are
     those of ``dom`` and ``labelled_pages``, the rest are a few steps.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counts = {}
+        rows: list[tuple] = []
+        done: set[int] = set()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                page = Page(text)
-                states = article_labels(page)
+            for order, text in zip(*(c.to_pylist() for c in batch.columns)):
+                page = Page(text) if order not in done else None
+                states = article_labels(page) if page else None
+                done.add(order)
                 if states is not None:
+                    counts: Counts = {}
                     add_counts(counts, page, states)
-        columns = list(zip(*counts)) or [[], [], [], []]
-        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string()]
-        arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
+                    rows += [(order, *key, n) for key, n in counts.items()]
+        columns = list(zip(*rows)) or [[]] * 6
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64()]
         yield pa.RecordBatch.from_arrays(
-            [*arrays, pa.array(list(counts.values()), pa.float64())], ["p", "s", "i", "x", "n"]
+            [pa.array(c, k) for c, k in zip(columns, kinds)], ["order", "p", "s", "i", "x", "n"]
         )
 
-    some = pages.where(F.col(source).isNotNull()).select(
+    # Only hashes are sorted, and only counts leave the tasks: no page is sent anywhere.
+    labelled = pages.where(F.regexp_count(source, F.lit(_ONE_ARTICLE)) == 1).select(
         F.xxhash64(url, source).alias("order"), F.col(source).alias("source")
     )
-    chosen = some.orderBy("order").limit(sample).select("source")
-    schema = "p int, s int, i int, x string, n double"
-    found = chosen.mapInArrow(count, schema).groupBy("p", "s", "i", "x").agg(F.sum("n").alias("n"))
+    last = labelled.select("order").distinct().orderBy("order").limit(sample).agg(F.max("order"))
+    chosen = labelled.where(F.col("order") <= F.lit(last.first()[0]))
+    keys = ["p", "s", "i", "x"]
+    schema = "order long, p int, s int, i int, x string, n double"
+    # Copies of a page count once.
+    once = chosen.mapInArrow(count, schema).groupBy("order", *keys).agg(F.max("n").alias("n"))
+    found = once.groupBy(*keys).agg(F.sum("n").alias("n"))
     return Model(mixed(example_counts(), {(r.p, r.s, r.i, r.x): r.n for r in found.collect()}))
 
 

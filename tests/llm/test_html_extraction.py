@@ -38,6 +38,12 @@ def blocks(source):
         ("a < b and 1<2 <", ["a < b and 1<2 <"]),
         ("<p>cut off &am", ["cut off &am"]),
         ("<p>a<svg><text>no</text></svg>b<button>no</button>c", ["abc"]),
+        ("<p>AT&<b>amp;</b>T &lt<!-- -->; &eacute<i>;</i>", ["AT&amp;T <; é;"]),
+        ("<p>see <math><mi>x</mi><mo>=</mo><mn>1</mn></math> and <object>fallback <b>text</b></object></p>",
+         ["see x=1 and fallback text"]),
+        ("<math><mi>y</mi><annotation>\\y</annotation></math>", ["y"]),
+        ("<noscript><p>one</p></noscript><p>a<noscript>b</noscript>c", ["one", "abc"]),
+        ("<p>a<map>b</map><dialog><p>c</dialog>d", ["ab", "c", "d"]),
     ],
 )
 def test_blocks_of_markup(source, wanted):
@@ -90,7 +96,15 @@ PLAIN = """<body><div id="nav"><ul><li><a>x</a></li><li><a>y</a></li></ul></div>
 <div class="reader-comments"><p>I disagree with the story, it is far too short.</p></div><div class="site-footer">bye</div>"""
 
 
-def test_pages_of_other_makes(model):
+@pytest.fixture(scope="module")
+def trained(spark):
+    return extraction.train(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"), "url", "html")
+
+
+@pytest.mark.parametrize("which", ["model", "trained"])
+def test_pages_of_other_makes(which, request):
+    """Neither page has an article element; the trained model has seen no other."""
+    model = request.getfixturevalue(which)
     assert model.text(OTHER).split("\n") == [
         "Title here",
         "First paragraph with link and été & more text to make it longer.",
@@ -123,6 +137,36 @@ def test_held_out_pages(spark):
     assert [r.text for r in rows] == [article(r.html) for r in rows]
 
 
+@pytest.mark.parametrize("start, end", [("<div>", "</div>"), ("<main>", "</main>"), ("<section class=story>", "</section>")])
+def test_pages_without_an_article_element(spark, trained, start, end):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    for row in pages:
+        other = row.html.replace("<article>", start).replace("</article>", end)
+        assert trained.text(other) == article(row.html)
+
+
+def test_labels_leave_out_what_an_article_sets_apart():
+    source = "<article><h1>t</h1><p>a</p><div class=comments><p>b</p></div><div id=Share-Box>c</div><form>d</form></article>"
+    page = Page(source)
+    states = extraction.article_labels(page)
+    assert [page.tags[i] for i, s in enumerate(states) if s] == ["article", "h1", "p"]
+    assert extraction.article_labels(Page("<article>a</article><article>b</article>")) is None
+
+
+def test_the_sample_is_of_labelled_pages_and_copies_count_once(spark, monkeypatch):
+    """Pages without an article element use up no place in the sample, nor do copies."""
+    taken = []
+    monkeypatch.setattr(extraction, "mixed", lambda examples, sampled: taken.append(sampled) or examples)
+    page = "<nav>n</nav><article><h1>{0}</h1><p>{0}</p></article>"
+    rows = [("u", f"<p>no article {i}</p>") for i in range(300)] + [("u", "<!--<article>-->x")]
+    rows += [("u", page.format(i)) for i in range(40)] + [("u", page.format(0))] * 200
+    pages = spark.createDataFrame(rows, "url string, html string").repartition(4)
+    extraction.train(pages, "url", "html", sample=100)
+    extraction.train(pages, "url", "html", sample=10)
+    # One article element for each page of the sample.
+    assert [x[0, 1, 0, "article"] for x in taken] == [40, 10]
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (2, None, ""), (None, "u", "   "), (3, "u", OTHER),
             (4, "u", "<article><p>" + "long text " * 50_000)]

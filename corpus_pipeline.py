@@ -7,6 +7,7 @@ and read again as the next one's documents. All but the last return the columns
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +17,8 @@ from housemark.sources.scratch import stage
 
 
 # Stages keep a row as the struct ``_doc`` beside what their operator adds, so that no added
-# column can clash with one of the documents. ``_row`` numbers the rows of one scan and is written
-# beside them: a second scan may cut the files otherwise and number them differently.
+# column can clash with one of the documents. ``_row`` is the file of a row and its place in it,
+# which every scan finds alike, however it cuts the files.
 _DOC = "_doc"
 
 
@@ -26,8 +27,12 @@ def _beside(docs: DataFrame, *names: str) -> DataFrame:
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    rows = _beside(docs).withColumn("_row", F.monotonically_increasing_id())
-    return stage(rows, "numbered")
+    """Rows with an identity; those that are no scan of Parquet files are written first."""
+    place = F.struct("_metadata.file_path", "_metadata.row_index").alias("_row")
+    try:
+        return docs.select(F.struct(*docs.columns).alias(_DOC), place)
+    except AnalysisException:
+        return _numbered(stage(docs, "documents"))
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

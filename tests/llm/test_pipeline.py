@@ -7,6 +7,7 @@ import __spark_entry__ as entry
 import corpus_pipeline as pipeline
 from housemark.llm import packing, simhash
 from housemark.sources.scratch import stage
+from test_mixing import slow as slow_mix
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -91,3 +92,42 @@ def test_empty_documents(spark, none):
     for _, function in pipeline.STAGES:
         docs = stage(function(spark, docs, FOLDER))
     assert docs.isEmpty()
+
+
+def slow_single(rows, fingerprints):
+    """Ids that near-dedup leaves: the smallest of each component of fingerprints."""
+    ids = sorted(rows)
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for k, i in enumerate(ids):
+        for j in ids[:k]:
+            if (fingerprints[i] ^ fingerprints[j]).bit_count() <= 3:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {find(i) for i in ids}
+
+
+def test_survivors_of_dedup_and_mixing_computed_anew(spark, steps):
+    """Both stages from plain Python over the whole table before them."""
+    _, ruled, single, masked, mixed, _ = steps
+    mask = (1 << 64) - 1
+    prints = {r.doc_id: r.fingerprint & mask for r in simhash.with_fingerprints(ruled).collect()}
+    assert sorted(r.doc_id for r in single.collect()) == sorted(slow_single(prints, prints))
+    rows = [(r.doc_id, r.source, r.text) for r in masked.collect()]
+    copies = {str(r[0]): r[-1] for r in slow_mix(rows)}
+    found = Counter(str(r.doc_id) for r in mixed.collect())
+    assert found == Counter({i: n for i, n in copies.items() if n})
+
+
+def test_documents_are_not_written_again_to_be_told_apart(spark, monkeypatch):
+    docs = stage(spark.read.parquet(f"{FOLDER}/documents.parquet"))
+    written = []
+    monkeypatch.setattr(pipeline, "stage", lambda frame, name="stage": written.append(frame.columns) or stage(frame, name))
+    for function in (pipeline.drop_near_duplicates, pipeline.mix_sources):
+        function(spark, docs, FOLDER)
+    assert written and not any("text" in c or "_doc" in c for c in written)

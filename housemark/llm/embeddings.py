@@ -63,7 +63,8 @@ def near_duplicates(
     double precision, is at least ``least_cosine`` (above 0). A vector that is null, empty
     or zero, or that holds a null or non-finite component, links with nothing, nor do
     vectors of different lengths. Equal rows link with each other. ``component_id`` is the
-    smallest id reachable, null ids passed over; ``kept`` is whether it is the row's own.
+    smallest id reachable, null ids passed over; ``kept`` is whether it is the row's own. Other
+    columns are not read, and an empty table gives an empty one.
     ``pivots`` is the number of pivots for vectors of one length, chosen for the data unless
     given. They are all that is sent to every task, and the ``sample`` that they are taken from
     all that is sent to the driver. The result does not depend on them.

@@ -269,7 +269,9 @@ def score(
     ``n_tokens``, ``n_known`` (seen in training), ``train_tokens`` (all of them),
     ``base_score`` (add-one unigrams of words) and ``score`` (subword lattice). Null text is
     empty. Without training documents all pieces are equally likely. Repeated rows are
-    documents of their own. The id column keeps its name and type.
+    documents of their own, an empty table gives an empty one, other columns are not read. A
+    text is read whole, in one slice; a word of any length needs a number for each of its bytes.
+    The id column keeps its name and type.
     """
     path = path or public_tokenizers.path(RANKS)
     table = stage(inverted(docs, doc_id, text, held_out), "inverted")

@@ -59,8 +59,9 @@ def pack(
     ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset`` in the sequence, and with
     ``with_ids`` the ``ids`` themselves. Each document ends with the id ``end``, so that an
     empty or null text is a piece of one id. Sequences are gapless from offset 0 and hold
-    ``length`` ids at most. Repeated rows are documents of their own. The id column keeps
-    its name and type.
+    ``length`` ids at most. Repeated rows are documents of their own, an empty table gives no
+    pieces, other columns are not read. A text of any length and shape is read whole; its task
+    holds its ids. The id column keeps its name and type.
     """
     rows = docs.select(doc_id, text)
     schema = (

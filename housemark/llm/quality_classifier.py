@@ -64,7 +64,11 @@ def statistics(raw: bytes | None) -> list[float]:
 
 
 def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` plus ``statistics``; a null text counts as an empty one."""
+    """``docs`` plus ``statistics``; a null text counts as an empty one.
+
+    An existing column of that name is replaced. Repeated rows have equal statistics, an empty
+    table gives an empty one, a text of any length is read whole.
+    """
     docs = docs.drop("statistics")
     names = docs.columns
 
@@ -102,7 +106,8 @@ class Classes:
 def fit(labelled: DataFrame, label: str, shrinkage: float = SHRINKAGE) -> Classes:
     """Classes of the rows whose ``label`` is 0 or 1; others are passed over.
 
-    With fewer than two rows of a class there is no density, and every score is the share
+    Repeated rows count each, and so do several labels of one row, conflicting ones in both
+    classes. With fewer than two rows of a class there is no density, and every score is the share
     of label 1, one half without any row.
     """
     d = N_STATISTICS
@@ -137,7 +142,11 @@ def fit(labelled: DataFrame, label: str, shrinkage: float = SHRINKAGE) -> Classe
 
 
 def with_scores(docs: DataFrame, classes: Classes) -> DataFrame:
-    """``docs``, as ``with_statistics`` gives them, plus ``score``, the probability of class 1."""
+    """``docs``, as ``with_statistics`` gives them, plus ``score``, the probability of class 1.
+
+    Equal statistics have equal scores. An existing column ``score`` is replaced, an empty table
+    gives an empty one.
+    """
     docs = docs.drop("score")
     names = docs.columns
 

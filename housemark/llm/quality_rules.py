@@ -53,7 +53,9 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
 
     ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines`` and ``n_repeat_words`` are 0
     for a null text. Windows are compared by 64-bit hashes. ``_text_hash`` tells equal texts
-    for ``with_verdict``, which drops it. Columns of these names are replaced.
+    for ``with_verdict``, which drops it. Columns of these names are replaced, repeated rows
+    have equal counts, an empty table gives an empty one. A text of any length is read whole; its
+    task holds its words and a hash for each.
     """
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     made = ["_text_hash", *counts, "base_failed"]
@@ -136,7 +138,8 @@ def with_verdict(
     value of its own. Small groups lean on the fixed spreads, and no group's variance falls
     below ``LEAST_PART`` of them. ``docs`` is written once, since a
     filter on its counts would otherwise be pushed into their computation, and read several
-    times; so are the vectors of its distinct texts.
+    times; so are the vectors of its distinct texts. Repeated rows get equal verdicts, an empty
+    table gives an empty one.
     """
     docs = stage(docs.drop("distance", "kept"), "counted")
     group = F.struct(F.col(lang).alias("lang"), F.col(source).alias("source")).alias("_group")

@@ -61,7 +61,9 @@ def with_fingerprints(
 ) -> DataFrame:
     """``docs`` plus the column ``fingerprint`` (64 bits as a long).
 
-    A null text counts as an empty one. An existing column of that name is replaced.
+    A null text counts as an empty one. An existing column of that name is replaced, repeated
+    rows have equal fingerprints, an empty table gives an empty one. A text of any length is
+    read whole; its task holds it and a part of its hashes at a time.
     """
     docs = docs.drop("fingerprint")
     names = docs.columns

@@ -98,7 +98,8 @@ def read_vocabulary(path: str) -> list[bytes]:
 def with_token_counts(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
     """``docs`` plus ``n_words`` and ``n_tokens`` of the whole text; both 0 for a null one.
 
-    Columns of these names are replaced. The automaton, whose size is that of the
+    Columns of these names are replaced. Repeated rows have equal counts, an empty table gives an
+    empty one, a text of any length is counted whole and byte by byte. The automaton, whose size is that of the
     vocabulary, goes to every task.
     """
     docs = docs.drop("n_words", "n_tokens")

@@ -36,7 +36,11 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep: neither too short nor repetitive, no outliers."""
+    """Documents that the rules keep: neither too short nor repetitive, no outliers.
+
+    A null text is too short, as is an empty one. A null language or source is a value of its
+    own, and repeated rows share their verdict. An empty table stays empty.
+    """
     rows = _beside(docs, "lang", "source", "text")
     counted = quality_rules.with_statistics(rows).drop("text")
     return quality_rules.with_verdict(counted).where("kept").select(f"{_DOC}.*")
@@ -45,7 +49,8 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near-equal fingerprints: that of smallest id.
 
-    Of rows with equal ids the first one stays; null ids come last.
+    Of rows with equal ids the first one stays; null ids come last. Null texts count as empty, and
+    empty texts as equal.
     """
     rows = _numbered(docs)
     texts = rows.select(f"{_DOC}.doc_id", f"{_DOC}.text", "_row")
@@ -58,7 +63,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret span of the text masked and ``n_chars`` counted anew."""
+    """All documents, with every secret span of the text masked and ``n_chars`` counted anew.
+
+    Null texts stay null and empty ones empty, with the ``n_chars`` that they had; repeated rows
+    are masked alike.
+    """
     rest = F.struct(*(c for c in docs.columns if c != "text")).alias(_DOC)
     masked = secrets.with_spans(docs.select(rest, "text"), mask=True)
     chars = F.char_length("text").cast(docs.schema["n_chars"].dataType)
@@ -71,7 +80,11 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document as the mix takes, none included."""
+    """As many copies of each document as the mix takes, none included.
+
+    A null source is one of its own. Null and empty texts have no words but take part; a source
+    without any words gives no document. Repeated rows are documents of their own.
+    """
     rows = _numbered(docs)
     texts = rows.select(f"{_DOC}.doc_id", f"{_DOC}.source", f"{_DOC}.text", "_row")
     sized = stage(mixing.measured(texts).drop("text"), "sized")

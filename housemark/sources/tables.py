@@ -130,6 +130,17 @@ class TableStore:
         """All batches of an appended table, without the batch column."""
         return self.read_batches(table, schema).drop(BATCH_COLUMN)
 
+    def read_batch(self, table: str, batch: str, schema: T.StructType) -> DataFrame:
+        """One batch of an appended table, empty if it is not there; no other folder is listed."""
+        at = table
+        if self.table_format in FILE_FORMATS:
+            at = f"{table}/{BATCH_COLUMN}={batch}"
+        if not self.is_there(at):
+            return self.spark.createDataFrame([], schema)
+        if at != table:
+            return self.read(at, schema)
+        return self.read_batches(table, schema).where(F.col(BATCH_COLUMN) == batch).drop(BATCH_COLUMN)
+
     def read_batches(self, table: str, schema: T.StructType) -> DataFrame:
         """All batches of an appended table; the batch column is a partition of its files."""
         batched = T.StructType(schema.fields + [T.StructField(BATCH_COLUMN, T.StringType())])
